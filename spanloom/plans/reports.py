@@ -92,14 +92,14 @@ def length_bins(spark, sf_dir):
     return X.length_bins(d, "n").select("example_id", "cluster")
 
 
-@query("report_running_best", "select strftime(d, '%Y-%m-%d') as d, v, max(v) over (order by d rows unbounded preceding) as best, row_number() over (partition by g order by d) - 1 as since_best from (select *, count(*) filter (v > coalesce(prev, -1)) over (order by d rows unbounded preceding) as g from (select *, max(v) over (order by d rows between unbounded preceding and 1 preceding) as prev from (select cast(o_orderdate as date) as d, round(avg(o_totalprice), 2) as v from orders group by 1)))")
+@query("report_running_best", "select strftime(d, '%Y-%m-%d') as d, v, max(v) over (order by d rows unbounded preceding) as best, row_number() over (partition by g order by d) - 1 as since_best from (select *, count(*) filter (v > coalesce(prev, -1)) over (order by d rows unbounded preceding) as g from (select *, max(v) over (order by d rows between unbounded preceding and 1 preceding) as prev from (select cast(o_orderdate as date) as d, sum(cast(round(o_totalprice * 100) as bigint)) // count(*) as v from orders group by 1)))")
 def running_best(spark, sf_dir):
     """Best value so far and days since, over one row a day: a series of bounded length."""
     from pyspark.sql import Window
 
-    day = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
+    day = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div count(*)").alias("v"))
     w = Window.orderBy("d")
     prev = F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = day.withColumn("best", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("new", (F.col("v") > F.coalesce(prev, F.lit(-1.0))).cast("int"))
+    x = day.withColumn("best", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("new", (F.col("v") > F.coalesce(prev, F.lit(-1))).cast("int"))
     x = x.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.select(F.date_format("d", "yyyy-MM-dd").alias("d"), "v", "best", (F.row_number().over(Window.partitionBy("g").orderBy("d")) - 1).alias("since_best"))
