@@ -31,14 +31,15 @@ def segment_softmax(df: DataFrame, segment: list[str], score: str) -> DataFrame:
     return shifted.join(sums, segment).withColumn("weight", F.col("__e") / F.col("__z")).drop("__m", "__e", "__z")
 
 
-def top_k_dot(queries: DataFrame, items: DataFrame, k: int, blocks: int = 4) -> DataFrame:
-    """(q_id, i_id, score, rank): the k items of greatest dot product for each query, exactly, by blocks of the query set.
+def top_k_dot(queries: DataFrame, items: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """(q_id, i_id, score, rank): the k items of greatest dot product for each query, exactly, by blocks of about `block` queries.
 
     Items are read once a query block and never shuffled: a task holds a block of queries as a matrix and the best k of its own items
     for each, so what is shuffled is k rows a query and task. queries: (q_id, q_vec), a stated query set; items: (i_id, i_vec)."""
     import numpy as np
     import pandas as pd
 
+    blocks = max(1, -(-queries.count() // block))
     rows = queries.withColumn("__b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
     spark = items.sparkSession
     out = None
