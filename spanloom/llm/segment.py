@@ -278,7 +278,7 @@ def _stop(line: str, start: int, j: int, k: int, spaced: bool, nxt: str) -> bool
         before = line[start : j - 1].rstrip()
         if before[-1:].isdigit() and not nxt.islower():
             return True
-        return False if (nxt.isalpha() or nxt in "\"“„«") and low.isascii() or word.isupper() else _begins(nxt)
+        return not word.isupper() and _begins(nxt)
     if low.isdigit() and len(low) <= 2:
         following = re.match(r"[^\W\d_]+", line[k : k + 20])
         if following and caseless_form(following.group()) in MONTHS_DE:
