@@ -151,7 +151,7 @@ def _spaceless(line: str) -> list[int]:
         elif lw is not None and rw is None and not final and clause_open(start, g.start()):
             cuts.append(g.start())  # a Thai name ends the question, another script opens the next sentence
             start = g.end()
-        elif lw is not None and rw is not None and clause_open(start, g.start()) and not digit_left:
+        elif rw is not None and clause_open(start, g.start()) and (lw is None or not digit_left):
             cuts.append(g.start())
             start = g.end()
     return cuts
