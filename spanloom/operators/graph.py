@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import window_around
-from spanloom.runtime import hkey
+from spanloom.runtime import durable, hkey
 
 #: Mentions closer than this pair up, within statements of at most so many positions.
 MAX_DISTANCE, MAX_POSITIONS = 40, 123
@@ -84,34 +84,34 @@ def exclusive_neighbours(nb: DataFrame, pairs: DataFrame, of: str = "h") -> Data
     return pairs.select("h", "t").join(mine, of).where(F.col("c") != F.col(other)).join(theirs, [other, "c"], "left_anti").select("h", "t", "c")
 
 
-def subset_pairs(nb: DataFrame) -> DataFrame:
-    """Pairs (h, t) whose every other neighbour of h is a neighbour of t.
+def subset_pairs(nb: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs (h, t), of those given or of all neighbours, whose every other neighbour of h is a neighbour of t.
 
     A witness first: the rarest other neighbour of h must lie next to t, which leaves few pairs for the anti join over whole
     neighbourhoods."""
+    nb = durable(nb)  # read six times below
     deg = nb.groupBy("h").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "t"))
     rare = nb.join(deg.select(F.col("h").alias("t"), "n"), "t").withColumn("r", rank).where("r <= 2").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("r", "t"))).alias("ws"))
-    one = nb.join(rare, "h").select("h", "t", F.get(F.filter("ws", lambda w: w["t"] != F.col("t")), F.lit(0))["t"].alias("c"))
-    passed = one.where("c is null").select("h", "t").unionByName(one.where("c is not null").join(nb.select(F.col("h").alias("c"), F.col("t")), ["c", "t"], "left_semi").select("h", "t"))
+    one = (nb if pairs is None else pairs.select("h", "t")).join(rare, "h").select("h", "t", F.get(F.filter("ws", lambda w: w["t"] != F.col("t")), F.lit(0))["t"].alias("c"))
+    passed = durable(one.where("c is null").select("h", "t").unionByName(one.where("c is not null").join(nb.select(F.col("h").alias("c"), F.col("t")), ["c", "t"], "left_semi").select("h", "t")))
     return passed.join(exclusive_neighbours(nb, passed).select("h", "t").distinct(), ["h", "t"], "left_anti")
 
 
 def trainable(split_edges: DataFrame, train_edges: DataFrame, mentions: DataFrame, min_pos: int = 2) -> DataFrame:
     """Edges of a split fit for contrastive training: the pair has at least min_pos training edges, the head at least min_pos + 1, and the head can be
     told from the tail: some other neighbour of its own, or a block of its edges that does not name the tail."""
-    per_pair = pair_counts(train_edges).where(F.col("n") >= min_pos).select("h", "t")
-    per_head = train_edges.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pos + 1).select("h")
+    counts = durable(pair_counts(train_edges))
+    per_pair = counts.where(F.col("n") >= min_pos).select("h", "t")
+    per_head = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pos + 1).select("h")
     kept = split_edges.join(per_pair, ["h", "t"], "left_semi").join(per_head, "h", "left_semi")
     pairs = kept.select("h", "t").distinct()
-    nb = neighbours(train_edges)
-    told = exclusive_neighbours(nb, pairs).select("h", "t").distinct()
-    rest = pairs.join(told, ["h", "t"], "left_anti")
+    alike = subset_pairs(counts.select("h", "t"), pairs)
     # a statement of h whose sentence does not name t
     head_sents = train_edges.select("h", "sent_id").distinct()
     named = mentions.select("sent_id", F.col("entity").alias("t")).distinct()
-    silent = rest.join(head_sents, "h").join(named, ["sent_id", "t"], "left_anti").select("h", "t").distinct()
-    return kept.join(told.unionByName(silent), ["h", "t"], "left_semi")
+    silent = alike.join(head_sents, "h").join(named, ["sent_id", "t"], "left_anti").select("h", "t").distinct()
+    return kept.join(alike.join(silent, ["h", "t"], "left_anti"), ["h", "t"], "left_anti")
 
 
 def triplets(mentions: DataFrame) -> DataFrame:
