@@ -86,6 +86,45 @@ def test_blocks_of_a_long_sentence(spark):
     assert [(r[0], r[1]) for r in df.select(a, b).collect()] == [(36, 159), (0, 123), (37, 159)]
 
 
+def test_blocks_grow_over_whole_sentences(spark):
+    from spanloom.operators import context as K
+
+    sents = spark.createDataFrame([(0, 1, 10, 0), (1, 1, 20, 1), (2, 1, 1, 2), (3, 1, 30, 3), (4, 2, 50, 0), (5, 2, 60, 1), (6, 2, 40, 2)], "sent_id bigint, doc_id bigint, n_tokens bigint, day int")
+    e = spark.createDataFrame([(1, 2, 1, 2, 4, 8, 10), (1, 2, 3, 2, 4, 8, 10), (1, 2, 5, 2, 4, 20, 30)], "h bigint, t bigint, sent_id bigint, hs bigint, he bigint, ts bigint, te bigint")
+    got = {r.sent_id: (r.block_start, r.block_end) for r in K.grown_blocks(e, K.neighbour_sizes(sents, ["day"])).collect()}
+    assert got == {1: (-10, 20), 3: (0, 30), 5: (-50, 60)}
+
+
+def _grow(lefts, rights, n, lo, hi, limit=123):
+    s, e, i, k = 0, n, 0, 0
+    while True:
+        left = i < len(lefts) and e - s + lefts[i] <= limit
+        right = k < len(rights) and e - s + rights[k] <= limit
+        if lo - s <= e - hi and left:
+            s, i = s - lefts[i], i + 1
+        elif right:
+            e, k = e + rights[k], k + 1
+        else:
+            return s, e
+
+
+def test_growth_equals_a_plain_loop(spark):
+    from spanloom.operators import context as K
+
+    rnd = random.Random(9)
+    sents = [(d * 1000 + k, d, rnd.choice([1, 3, 5, 9, 14, 40]), k) for d in range(6) for k in range(150)]
+    e = [(1, 2, s, 0, 1, n - 1, n) if rnd.random() < 0.5 else (1, 2, s, n // 2, n // 2 + 1, n - 1, n) for s, _, n, _ in sents if n > 3]
+    df = spark.createDataFrame(e, "h bigint, t bigint, sent_id bigint, hs bigint, he bigint, ts bigint, te bigint")
+    sizes = K.neighbour_sizes(spark.createDataFrame(sents, "sent_id bigint, doc_id bigint, n_tokens bigint, day int"), ["day"])
+    got = {r.sent_id: (r.block_start, r.block_end) for r in K.grown_blocks(df, sizes).collect()}
+    by = {d: [x for x in sents if x[1] == d] for d in range(6)}
+    for _, _, s, hs, _, _, te in e:
+        d, k = divmod(s, 1000)
+        stop = lambda xs: next((xs[:i] for i, x in enumerate(xs) if x <= 1), xs)
+        sizes_of = [x[2] for x in by[d]]
+        assert got[s] == _grow(stop(sizes_of[:k][::-1]), stop(sizes_of[k + 1 :]), sizes_of[k], hs, te)
+
+
 def test_capped_count(spark):
     e = spark.createDataFrame([(1, 2)] * 3 + [(1, 3)], "h bigint, t bigint")
     assert collect(G.capped_counts(e, 2), "h", "n_capped") == [(1, 3)]
