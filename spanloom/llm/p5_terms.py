@@ -32,7 +32,7 @@ def clean_uri(c: str | F.Column) -> F.Column:
     trimmed = F.regexp_replace(c, f"^{_WS}|{_WS}$", "")
     decoded = F.when(F.instr(trimmed, "%") > 0, F.coalesce(F.try_url_decode(F.replace(trimmed, F.lit("+"), F.lit("%2B"))), trimmed)).otherwise(trimmed)
     out = F.replace(decoded, F.lit(" "), F.lit("_"))
-    return F.when((F.length(out) > 0) & ~out.rlike(r"[\n\r\u000B\u000C\u0085  ]"), out)
+    return F.when((F.length(out) > 0) & ~out.rlike(r"[\n\r\u000B\u000C\u0085\u2028\u2029]"), out)
 
 
 class BurstTrie:

@@ -32,9 +32,9 @@ THAI_INNER = tuple(
 #: Words that open a name of several words.
 NAME_OPEN = frozenset("the st st. lake port baie ballade elegía société compañía university institut saint mount new".split())
 
-_ZERO = "­​‌‍⁠﻿"
+_ZERO = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _QUOTE_OPEN = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "‹": "›"}
-_LINE = re.compile(r"[^\n\r  \x0b\x0c\x85]+")
+_LINE = re.compile(r"[^\n\r\u2028\u2029\x0b\x0c\x85]+")
 _EVENT = re.compile(r"[.!?…。।؟]+|[\"“”„«»「」『』‹›]")
 _LIST = re.compile(r"\s*(?:[-*•|#–—·]|\d+[.)]\s)")
 _THAI = re.compile("[฀-๿]")
@@ -47,7 +47,7 @@ def _view(line: str) -> tuple[str, list[int] | None]:
     """The line as its reader sees it, and where each of its characters stands in the line (None: at the same place)."""
     if line.isascii():
         return line, None
-    plain = not any(c in _ZERO or "！" <= c <= "～" or c in "ำ   　｡" for c in set(line))
+    plain = not any(c in _ZERO or "！" <= c <= "～" or c in "ำ\u00a0\u2007\u202f\u3000｡" for c in set(line))
     if plain:
         return line, None
     out, at = [], []
@@ -60,7 +60,7 @@ def _view(line: str) -> tuple[str, list[int] | None]:
             out.append("ํ")
             at.append(i)
             c = "า"
-        elif c in "   　":
+        elif c in "\u00a0\u2007\u202f\u3000":
             c = " "
         elif c == "｡":
             c = "。"

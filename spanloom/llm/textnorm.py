@@ -11,9 +11,9 @@ LOOKALIKE_TO = "ABESIJKMHOPCTYXaesijopcyxhdqwYABEZHIKMNOPTYXo"
 ACCENTED_FROM = "ЁёЇїЀѐ"
 ACCENTED_TO = "ËëÏïÈè"
 #: Characters that take no room.
-INVISIBLE = "­​‌‍⁠﻿‎‏᠎؜"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u200e\u200f\u180e\u061c"
 #: Spaces other than U+0020, and hyphens other than U+002D.
-SPACES = "               　\t"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t"
 HYPHENS = "‐‑"
 
 #: With letter case set aside, capitals that look alike tie their small letters together too.
