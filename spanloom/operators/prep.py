@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import last_segment, trim_shift
 from spanloom.operators.intervals import overlap_join, sweep_disjoint
 
-NBSP, NEWLINE = " ", "\n"
+NBSP, NEWLINE = "\u00a0", "\n"
 
 
 def exploded(articles: DataFrame, column: str, id_col: str = "article_id") -> DataFrame:
@@ -92,3 +92,21 @@ def in_sentences(mentions: DataFrame, sentences: DataFrame, id_col: str = "artic
 def rich_sentences(placed: DataFrame, id_col: str = "article_id", min_entities: int = 2) -> DataFrame:
     """Sentences that hold mentions of at least min_entities distinct uris."""
     return placed.where("inside").groupBy(id_col, "sent_no").agg(F.count_distinct("uri").alias("n_entities"), F.count("*").alias("n_mentions")).where(F.col("n_entities") >= min_entities)
+
+
+def spaced_mentions(articles: DataFrame, mentions: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
+    """(id, spaced): the text with a space on either side of every mention that lacks one. Mentions: (id, start, end), disjoint; a fold over each
+    article's mentions in order, inside the JVM. Articles without mentions stay as they are; null texts stay null."""
+    ms = mentions.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__ms"))
+    j = articles.select(F.col(id_col), F.col(text_col).alias("__t")).join(ms, F.col(id_col) == F.col("__id"), "left")
+    at = lambda a, b: F.substring("__t", (a + 1).cast("int"), (b - a).cast("int"))
+
+    def step(acc, m):
+        before, own = at(acc["at"], m["start"]), at(m["start"], m["end"])
+        lead = F.when((m["start"] > 0) & (at(m["start"] - 1, m["start"]) != " "), F.lit(" ")).otherwise(F.lit(""))
+        trail = F.when((m["end"] < F.length("__t")) & (at(m["end"], m["end"] + 1) != " "), F.lit(" ")).otherwise(F.lit(""))
+        return F.struct(F.concat(acc["out"], before, lead, own, trail).alias("out"), m["end"].cast("long").alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    folded = F.aggregate(F.coalesce("__ms", F.array().cast("array<struct<start:bigint,end:bigint>>")), start, step, lambda a: F.concat(a["out"], F.substring("__t", (a["at"] + 1).cast("int"), F.length("__t"))))
+    return j.select(id_col, folded.alias("spaced"))

@@ -198,3 +198,67 @@ def one_mention(spark, sf_dir):
 @query("report_log_losses_by_rank", f"with {_P} select split, example_id, row_number() over (partition by split order by p desc, example_id) - 1 as rank from p")
 def ranks_by_split(spark, sf_dir):
     return X.ranked(_preds(spark, sf_dir), "p", ["example_id"], ["split"]).select("split", "example_id", "rank")
+
+
+_WF = m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h),
+ c as (select p.h, p.t, a.t as c, 0 as kind from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t
+  union all select p.h, p.t, a.t, 1 from p join n1 a on a.h = p.t where a.t <> p.h and not exists (select 1 from n1 b where b.h = p.h and b.t = a.t)
+  union all select p.h, p.t, a.t, 2 from p join n1 a on a.h = p.h where a.t <> p.t and not exists (select 1 from n1 b where b.h = p.t and b.t = a.t)),
+ n as (select h, t, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2 from c group by h, t),
+ k as (select h, t, least(n0, 6) as k0, least(n1, 6 - least(n0, 6) + 3) as k1, n2 from n), k2 as (select h, t, k0, k1, least(n2, 9 - k0 - k1 + 3) as k2 from k),
+ r as (select *, row_number() over (partition by h, t, kind order by md5(concat_ws('|', 1, h, t, c)), c) as place from c)
+ select h, t, c, kind from r join k2 using (h, t) where place <= case kind when 0 then k0 when 1 then k1 else k2 end"""
+
+
+@query("pair_waterfall_negatives", _WF)
+def waterfall(spark, sf_dir):
+    """Six common neighbours, three of the tail's own, three of the head's own; what a kind lacks goes to the next."""
+    nb = G.neighbours(edges(spark, sf_dir))
+    p = first_pairs(nb)
+    c = G.common_neighbours(nb, p).withColumn("kind", F.lit(0)).unionByName(G.exclusive_neighbours(nb, p, "t").withColumn("kind", F.lit(1))).unionByName(G.exclusive_neighbours(nb, p, "h").withColumn("kind", F.lit(2)))
+    return R.negatives_waterfall(c, [6, 3, 3])
+
+
+@query("score_gated_sum", m_sql() + """, n1 as (select distinct h, t from e), nv as (select count(*) as n from embeddings), ev as (select vec_id, embedding::double[] as v from embeddings), s as (select n1.h, b.v as v, 1 / (1 + exp(-list_dot_product(a.v, b.v))) as w from n1 join nv on true join ev a on a.vec_id = n1.h % n join ev b on b.vec_id = n1.t % n),
+ uu as (select h, unnest(v) as x, generate_subscripts(v, 1) as d, w from s), g as (select h, d, sum(x * w) as x from uu group by h, d) select h, list(round(x, 5) order by d) as total from g group by h""")
+def gated_sum(spark, sf_dir):
+    """Neighbour vectors summed with the sigmoid of their score as a gate."""
+    from spanloom.plans.scores import _pair_scores
+
+    return C.vector_sum(_pair_scores(spark, sf_dir), ["h"], "tv", 64, V.sigmoid("x")).select("h", F.transform("total", lambda x: F.round(x, 5)).alias("total"))
+
+
+@query("score_passage_compatibility", m_sql() + ", nv as (select count(*) as n from embeddings), v as (select sent_id, rn, embedding::double[] as v from (select sent_id, rn, entity % n as vec_id from m, nv) join embeddings using (vec_id)) select a.sent_id, round(sum(list_dot_product(a.v, b.v)) / (2.0 * 64 * count(*)), 6) as score from v a join v b on a.sent_id = b.sent_id group by a.sent_id")
+def passage_compatibility(spark, sf_dir):
+    """Mean compatibility of all ordered mention pairs of a passage: the square of its summed vectors, so no pair is formed."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = v.agg(F.count("*").alias("n"))
+    m = mentions(spark, sf_dir).crossJoin(F.broadcast(n)).select("sent_id", (F.col("entity") % F.col("n")).alias("k"))
+    g = C.gather(m, v, "k", "v")
+    sums = C.vector_sum(g, ["sent_id"], "v", 64).join(m.groupBy("sent_id").agg(F.count("*").alias("n")), "sent_id")
+    return sums.select("sent_id", F.round(V.dot("total", "total") / (2.0 * 64 * F.col("n") * F.col("n")), 6).alias("score"))
+
+
+@query("score_entity_start_pooling", """with s as (select example_id, ('0x' || substr(md5(coalesce(tokens[subj_start + 1], '~')), 1, 8))::bigint as a, ('0x' || substr(md5(coalesce(tokens[obj_start + 1], '~')), 1, 8))::bigint as b from tacred_examples where tokens is not null and subj_start is not null and obj_start is not null), n as (select count(*) as n from embeddings)
+ select example_id, list_transform(p.embedding::double[] || q.embedding::double[], lambda x: round(x, 6)) as pooled from s join n on true join embeddings p on p.vec_id = a % n join embeddings q on q.vec_id = b % n""")
+def entity_start_pooling(spark, sf_dir):
+    """Vectors of both entity starts side by side; a word has the vector of its hash."""
+    d = table(spark, sf_dir, "tacred_examples").where("tokens is not null and subj_start is not null and obj_start is not null")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = v.agg(F.count("*").alias("n"))
+    key = lambda p: F.conv(F.substring(F.md5(F.coalesce(F.get("tokens", F.col(p)), F.lit("~"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
+    j = d.crossJoin(F.broadcast(n)).select("example_id", key("subj_start").alias("a"), key("obj_start").alias("b"))
+    j = C.gather(C.gather(j, v, "a", "av"), v, "b", "bv")
+    pooled = C.at_positions(F.array("av", "bv"), F.lit(0), F.lit(1))
+    return j.select("example_id", F.transform(pooled.cast("array<double>"), lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query("report_logistic_grid")
+def logistic_grid(spark, sf_dir):
+    return C.logistic_grid(table(spark, sf_dir, "embeddings"), "embedding", "label", [0.1, 10.0], folds=2, iterations=15)
+
+
+@query("corpus_spaced_texts")
+def spaced_texts(spark, sf_dir):
+    a = table(spark, sf_dir, "wiki_articles")
+    return P.spaced_mentions(a, P.clean_mentions(a).where("layer = 'annotations'").select("article_id", "start", "end"))

@@ -14,7 +14,7 @@ _TACRED = T.StructType([T.StructField("id", T.StringType()), T.StructField("toke
 def articles(spark: SparkSession, patterns: str) -> DataFrame:
     """Linked articles in JSON lines; patterns: globs, comma-separated. No-break spaces in texts become spaces."""
     df = spark.read.schema(ARTICLE).json([p.strip() for p in patterns.split(",")])
-    return df.withColumn("text", F.replace("text", F.lit(" "), F.lit(" ")))
+    return df.withColumn("text", F.replace("text", F.lit("\u00a0"), F.lit(" ")))
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:

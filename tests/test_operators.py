@@ -272,3 +272,23 @@ def test_empty_tables(spark):
     e = R.with_ids(G.both_ways(G.statements(m)))
     for df in (G.degrees(e), G.capped_sample(e, 1), R.positives(e), G.triplets(m), S.epoch_slice(m, ["rn"], 5, 1), P.ordered_ids(m, [F.asc("rn")], "n")):
         assert df.count() == 0
+
+
+def test_spaces_around_mentions(spark):
+    a = spark.createDataFrame([(1, "abcdef gh"), (2, "xy"), (3, None)], "article_id int, text string")
+    m = spark.createDataFrame([(1, 2, 4), (1, 7, 9), (2, 0, 2)], "article_id int, start bigint, end bigint")
+    assert {r.article_id: r.spaced for r in P.spaced_mentions(a, m).collect()} == {1: "ab cd ef gh", 2: "xy", 3: None}
+
+
+def test_waterfall_passes_on_what_is_lacking(spark):
+    c = spark.createDataFrame([(1, 2, 10, 0), *[(1, 2, 20 + i, 1) for i in range(9)], *[(3, 4, 30 + i, 2) for i in range(9)]], "h bigint, t bigint, c bigint, kind int")
+    got = R.negatives_waterfall(c, [2, 2, 1]).groupBy("h", "kind").count().collect()
+    assert sorted((r.h, r.kind, r["count"]) for r in got) == [(1, 0, 1), (1, 1, 3), (3, 2, 5)]
+
+
+def test_ranked_and_logistic_grid(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(120, 3))
+    df = spark.createDataFrame([(v.tolist(), int(v[0] > 0)) for v in x], "f array<double>, y int")
+    assert min(r.accuracy for r in C.logistic_grid(df, "f", "y", [10.0, 100.0], folds=2).collect()) > 0.85

@@ -12,7 +12,7 @@ from spanloom.streaming import windows
 
 
 def test_articles(spark, tmp_path):
-    row = {"url": "u/A", "text": "a b", "annotations": [{"uri": "X", "surface_form": "a", "offset": 0}], "el": []}
+    row = {"url": "u/A", "text": "a\u00a0b", "annotations": [{"uri": "X", "surface_form": "a", "offset": 0}], "el": []}
     (tmp_path / "a.jsonl").write_text(json.dumps(row) + "\n")
     (tmp_path / "b.jsonl").write_text(json.dumps(row | {"url": "u/B"}) + "\n")
     rows = R.articles(spark, f"{tmp_path}/a*.jsonl, {tmp_path}/b*.jsonl").orderBy("url").collect()
