@@ -126,8 +126,9 @@ def strong_negatives(spark, sf_dir):
 _EP = m_sql() + ", x as (select *, md5(concat_ws('|', h, t, sent_id, hs, ts)) as id from e), n1 as (select distinct h, t from e)"
 
 
-@query("pair_sharing_one_entity", _EP + """, o as (select h, t, min(id) as id from x group by h, t), c as (select p.h, p.t, o.t as new_t, o.id from n1 p join o on o.h = p.h and o.t <> p.t join n1 q on q.h = p.t and q.t = o.t),
- b as (select h, t, arg_min(id, new_t) as b_id from c group by h, t) select x.id as a_id, b.b_id from x join b using (h, t)""")
+@query("pair_sharing_one_entity", _EP + """, o as (select h, t, min(id) as id from x group by h, t), r as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn from o),
+ c as (select a.h, a.t, b.rn - a.rn as rank, b.id from r a join r b on a.h = b.h and b.rn > a.rn and b.rn <= a.rn + 8 join n1 q on q.h = a.t and q.t = b.t),
+ b as (select h, t, arg_min(id, rank) as b_id from c group by h, t) select x.id as a_id, b.b_id from x join b using (h, t)""")
 def sharing_one(spark, sf_dir):
     e = _ids(spark, sf_dir, "l_partkey")
     return R.sharing_one(e, G.neighbours(e))
