@@ -173,7 +173,7 @@ def best_setting(spark, sf_dir):
     return g.withColumn("best", F.row_number().over(Window.orderBy(F.desc("mean_score"), "c")) == 1)
 
 
-@query("report_stat_keys", "select * from (values ('dev_acc', 0.5), ('dev_f1', 0.4), ('loss', 1.0), ('test_accuracy', 0.6)) t(key, value) where regexp_matches(key, 'acc|f1')")
+@query("report_stat_keys", "select key, value::double as value from (values ('dev_acc', 0.5), ('dev_f1', 0.4), ('loss', 1.0), ('test_accuracy', 0.6)) t(key, value) where regexp_matches(key, 'acc|f1')")
 def stat_keys(spark, sf_dir):
     d = spark.createDataFrame([("dev_acc", 0.5), ("dev_f1", 0.4), ("loss", 1.0), ("test_accuracy", 0.6)], "key string, value double")
     return d.where(F.col("key").rlike("acc|f1"))

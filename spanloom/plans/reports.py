@@ -92,7 +92,7 @@ def length_bins(spark, sf_dir):
     return X.length_bins(d, "n").select("example_id", "cluster")
 
 
-@query("report_running_best", "select strftime(d, '%Y-%m-%d') as d, v, max(v) over (order by d rows unbounded preceding) as best, row_number() over (partition by g order by d) - 1 as since_best from (select *, count(*) filter (v > coalesce(prev, -1)) over (order by d rows unbounded preceding) as g from (select *, max(v) over (order by d rows between unbounded preceding and 1 preceding) as prev from (select cast(o_orderdate as date) as d, sum(cast(round(o_totalprice * 100) as bigint)) // count(*) as v from orders group by 1)))")
+@query("report_running_best", "select strftime(d, '%Y-%m-%d') as d, v, max(v) over (order by d rows unbounded preceding) as best, row_number() over (partition by g order by d) - 1 as since_best from (select *, count(*) filter (v > coalesce(prev, -1)) over (order by d rows unbounded preceding) as g from (select *, max(v) over (order by d rows between unbounded preceding and 1 preceding) as prev from (select cast(o_orderdate as date) as d, cast(sum(cast(round(o_totalprice * 100) as bigint)) // count(*) as bigint) as v from orders group by 1)))")
 def running_best(spark, sf_dir):
     """Best value so far and days since, over one row a day: a series of bounded length."""
     from pyspark.sql import Window
