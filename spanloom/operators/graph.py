@@ -76,6 +76,25 @@ def common_neighbours(nb: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("h", "t").join(left, "h").join(right, ["t", "c"]).select("h", "t", "c")
 
 
+def triangles(nb: DataFrame) -> DataFrame:
+    """(a, b, c): every three entities next to each other, once; nb holds both directions.
+
+    Each tie points to its end of larger degree and the wedge starts from the end of smaller degree, of which less than the root of twice
+    the ties can leave: a hot entity gets no wedge of its own, and nothing is left out."""
+    nb = durable(nb)  # read four times below
+    deg = nb.groupBy("h").agg(F.count("*").alias("n"))
+    tied = nb.join(deg, "h").join(deg.select(F.col("h").alias("t"), F.col("n").alias("m")), "t")
+    up = durable(tied.where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("h") < F.col("t")))).select("h", "t"))
+    wedge = up.select(F.col("h").alias("a"), F.col("t").alias("b")).join(up.select(F.col("h").alias("a"), F.col("t").alias("c")), "a").where("b < c")
+    return wedge.join(nb.select(F.col("h").alias("b"), F.col("t").alias("c")), ["b", "c"], "left_semi").select("a", "b", "c")
+
+
+def all_common_neighbours(nb: DataFrame) -> DataFrame:
+    """(h, t, c): the common neighbours of every pair of neighbours, from the triangles; nb holds both directions."""
+    turns = F.array(*(F.struct(F.col(x).alias("h"), F.col(y).alias("t"), F.col(z).alias("c")) for x, y, z in ("abc", "acb", "bac", "bca", "cab", "cba")))
+    return triangles(nb).select(F.explode(turns).alias("w")).select("w.*")
+
+
 def exclusive_neighbours(nb: DataFrame, pairs: DataFrame, of: str = "h") -> DataFrame:
     """(h, t, c): neighbours of one end of each pair that are neither a neighbour of, nor, the other end."""
     other = "t" if of == "h" else "h"
