@@ -103,6 +103,19 @@ def exclusive_neighbours(nb: DataFrame, pairs: DataFrame, of: str = "h") -> Data
     return pairs.select("h", "t").join(mine, of).where(F.col("c") != F.col(other)).join(theirs, [other, "c"], "left_anti").select("h", "t", "c")
 
 
+def all_exclusive_neighbours(nb: DataFrame, of: str = "h") -> DataFrame:
+    """(h, t, c) as from exclusive_neighbours, for every pair of neighbours; nb holds both directions.
+
+    Each head's neighbours travel once as a list and what is common is taken out of it pair by pair, so no wedge is shuffled."""
+    other = "t" if of == "h" else "h"
+    nb = durable(nb)
+    lists = nb.groupBy("h").agg(F.collect_list("t").alias("all"))
+    shared = all_common_neighbours(nb).groupBy("h", "t").agg(F.collect_list("c").alias("shared"))
+    out = F.when(F.col("shared").isNull(), F.array("t")).otherwise(F.array_append("shared", F.col("t")))
+    left = nb.join(shared, ["h", "t"], "left").join(lists, "h").select("h", "t", F.explode(F.array_except("all", out)).alias("c"))
+    return left.select(F.col(of).alias("h"), F.col(other).alias("t"), "c")
+
+
 def subset_pairs(nb: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Pairs (h, t), of those given or of all neighbours, whose every other neighbour of h is a neighbour of t.
 

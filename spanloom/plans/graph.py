@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import graph as G
 from spanloom.plans.fixtures import m_sql, mentions, sentences, split_of
 from spanloom.plans.registry import query
-from spanloom.runtime import hkey
+from spanloom.runtime import durable, hkey
 
 PART, SUPP = "l_partkey", "l_suppkey"
 
@@ -110,29 +110,26 @@ def first_pairs(nb: DataFrame) -> DataFrame:
 
 @query("graph_common_neighbours", m_sql() + _PAIRS + " select p.h, p.t, a.t as c from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t")
 def common(spark, sf_dir):
-    nb = G.neighbours(edges(spark, sf_dir))
-    return G.common_neighbours(nb, first_pairs(nb))
+    return G.all_common_neighbours(G.neighbours(edges(spark, sf_dir)))
 
 
 @query("graph_head_only_neighbours", m_sql() + _PAIRS + " select p.h, p.t, a.t as c from p join n1 a on a.h = p.h where a.t <> p.t and not exists (select 1 from n1 b where b.h = p.t and b.t = a.t)")
 def head_only(spark, sf_dir):
-    nb = G.neighbours(edges(spark, sf_dir))
-    return G.exclusive_neighbours(nb, first_pairs(nb), "h")
+    return G.all_exclusive_neighbours(G.neighbours(edges(spark, sf_dir)), "h")
 
 
 @query("graph_tail_only_neighbours", m_sql() + _PAIRS + " select p.h, p.t, a.t as c from p join n1 a on a.h = p.t where a.t <> p.h and not exists (select 1 from n1 b where b.h = p.h and b.t = a.t)")
 def tail_only(spark, sf_dir):
-    nb = G.neighbours(edges(spark, sf_dir))
-    return G.exclusive_neighbours(nb, first_pairs(nb), "t")
+    return G.all_exclusive_neighbours(G.neighbours(edges(spark, sf_dir)), "t")
 
 
 @query("graph_neighbour_classes", m_sql() + _PAIRS + """, c as (select p.h, p.t, a.t as c from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t)
  select c.h, c.t, c.c, (x.h is not null)::int + (y.h is not null)::int as n_chosen from c left join p x on x.h = c.h and x.t = c.c left join p y on y.h = c.c and y.t = c.t""")
 def neighbour_classes(spark, sf_dir):
-    """Common neighbours by how many of their two connections are in a chosen set of pairs."""
-    nb = G.neighbours(edges(spark, sf_dir))
+    """Common neighbours of every pair by how many of their two connections are in a chosen set of pairs, one of each head."""
+    nb = durable(G.neighbours(edges(spark, sf_dir)))
     pairs = first_pairs(nb)
-    c = G.common_neighbours(nb, pairs)
+    c = G.all_common_neighbours(nb)
     x = pairs.select("h", F.col("t").alias("c"), F.lit(1).alias("x"))
     y = pairs.select(F.col("h").alias("c"), "t", F.lit(1).alias("y"))
     return c.join(x, ["h", "c"], "left").join(y, ["c", "t"], "left").select("h", "t", "c", (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("n_chosen"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G
 from spanloom.operators import pairs as R
+from spanloom.plans import graph as plans
+from spanloom.plans import load_all
+from tests.oracle import SF
 
 EDGE = "h bigint, t bigint, sent_id bigint, hs bigint, he bigint, ts bigint, te bigint"
 
@@ -60,3 +63,29 @@ def test_every_statement_with_a_mutual_tail_shares_one(spark):
             want[i] = least[h, c]
     got = R.sharing_one(e, G.neighbours(e)).collect()
     assert len(got) == len(want) and {r.a_id: r.b_id for r in got} == want
+
+
+def test_exclusive_neighbours_of_all_pairs_equal_brute_force(spark):
+    rows = _graph(40, 0.12, 3)
+    near = _near(rows)
+    nb = G.neighbours(_edges(spark, rows))
+    for of, want in (
+        ("h", {(h, t, c) for h in near for t in near[h] for c in near[h] - near[t] - {t}}),
+        ("t", {(h, t, c) for h in near for t in near[h] for c in near[t] - near[h] - {h}}),
+    ):
+        got = G.all_exclusive_neighbours(nb, of).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_neighbour_queries_answer_every_pair(spark):
+    q, _ = load_all()
+    near = defaultdict(set)
+    for r in G.neighbours(plans.edges(spark, SF)).collect():
+        near[r.h].add(r.t)
+    common = {(h, t, c) for h in near for t in near[h] for c in near[h] & near[t]}
+    assert {tuple(r) for r in q["graph_common_neighbours"](spark, SF).select("h", "t", "c").collect()} == common
+    assert q["graph_head_only_neighbours"](spark, SF).count() == sum(len(near[h] - near[t] - {t}) for h in near for t in near[h])
+    assert q["graph_tail_only_neighbours"](spark, SF).count() == sum(len(near[t] - near[h] - {h}) for h in near for t in near[h])
+    chosen = {(h, min(near[h])) for h in near}
+    classes = {(h, t, c, ((h, c) in chosen) + ((c, t) in chosen)) for h, t, c in common}
+    assert {tuple(r) for r in q["graph_neighbour_classes"](spark, SF).select("h", "t", "c", "n_chosen").collect()} == classes
