@@ -89,3 +89,27 @@ def test_neighbour_queries_answer_every_pair(spark):
     chosen = {(h, min(near[h])) for h in near}
     classes = {(h, t, c, ((h, c) in chosen) + ((c, t) in chosen)) for h, t, c in common}
     assert {tuple(r) for r in q["graph_neighbour_classes"](spark, SF).select("h", "t", "c", "n_chosen").collect()} == classes
+
+
+def test_every_statement_that_can_gets_a_strong_negative(spark):
+    rnd = random.Random(5)
+    # sentences of few entities, and a head of which a frequent tail stands in all sentences but one
+    sents = [rnd.sample(range(20), rnd.randint(2, 4)) for _ in range(45)] + [[100, 101, 200 + k] for k in range(12)] + [[100, 211]]
+    m = spark.createDataFrame([(s, e, k + 1, 10 * k, 10 * k + 3) for s, es in enumerate(sents) for k, e in enumerate(es)], "sent_id bigint, entity bigint, rn int, st bigint, en bigint")
+    e = R.with_ids(G.both_ways(G.statements(m)))
+    rows = {r.id: r for r in e.collect()}
+    near, of = defaultdict(set), defaultdict(list)
+    for r in rows.values():
+        near[r.h].add(r.t)
+        of[r.h, r.t].append((md5(f"1|{r.id}".encode()).hexdigest(), r.id))
+    want = {}
+    for i, r in rows.items():
+        ring = sorted(near[r.h] - {r.t}, key=lambda c: (_key(r.h, c) <= _key(r.h, r.t), _key(r.h, c)))
+        for c in ring:
+            good = [x for x in of[r.h, c] if r.t not in sents[rows[x[1]].sent_id]]
+            if good:
+                want[i] = (min(good)[1], c)
+                break
+    got = R.strong_negatives(e, G.neighbours(e), m).collect()
+    assert any((rows[i].h, rows[i].t) == (100, 101) for i in want)
+    assert len(got) == len(want) and {r.a_id: (r.b_id, r.new_t) for r in got} == want
