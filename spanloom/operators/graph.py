@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import window_around
+from spanloom.operators.prep import ordered_ids
 from spanloom.runtime import durable, hkey
 
 #: Mentions closer than this pair up, within statements of at most so many positions.
 MAX_DISTANCE, MAX_POSITIONS = 40, 123
+#: Neighbours that travel in one list.
+LIST = 8192
 
 
 def statements(mentions: DataFrame, max_distance: int = MAX_DISTANCE, max_positions: int = MAX_POSITIONS) -> DataFrame:
@@ -95,6 +98,24 @@ def all_common_neighbours(nb: DataFrame) -> DataFrame:
     return triangles(nb).select(F.explode(turns).alias("w")).select("w.*")
 
 
+def four_cliques(nb: DataFrame) -> DataFrame:
+    """(a, b, c, d): every four entities next to each other, once, b < c < d; nb holds both directions. Two triangles that start from one end of small
+    degree make each, so that a hot entity starts none."""
+    tri = durable(triangles(nb))
+    abd = tri.select("a", "b", F.col("c").alias("d"))
+    acd = tri.select("a", F.col("b").alias("c"), F.col("c").alias("d"))
+    return tri.join(abd, ["a", "b"]).where("c < d").join(acd, ["a", "c", "d"], "left_semi").select("a", "b", "c", "d")
+
+
+def ring(nb: DataFrame, seed: int = 1) -> DataFrame:
+    """(h, t, place, size): the neighbours of each head in a pseudo-random ring. Places come from one global order sorted by range, so a hot head's
+    ring is spread over partitions."""
+    keyed = nb.select("h", "t", hkey(F.lit(seed), "h", "t").alias("key"))
+    placed = ordered_ids(keyed, [F.asc("h"), F.asc("key"), F.asc("t")], "at")
+    per = placed.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    return placed.join(per, "h").select("h", "t", (F.col("at") - F.col("first")).cast("int").alias("place"), F.col("size").cast("int").alias("size"))
+
+
 def exclusive_neighbours(nb: DataFrame, pairs: DataFrame, of: str = "h") -> DataFrame:
     """(h, t, c): neighbours of one end of each pair that are neither a neighbour of, nor, the other end."""
     other = "t" if of == "h" else "h"
@@ -106,44 +127,49 @@ def exclusive_neighbours(nb: DataFrame, pairs: DataFrame, of: str = "h") -> Data
 def all_exclusive_neighbours(nb: DataFrame, of: str = "h") -> DataFrame:
     """(h, t, c) as from exclusive_neighbours, for every pair of neighbours; nb holds both directions.
 
-    Each head's neighbours travel once as a list and what is common is taken out of it pair by pair, so no wedge is shuffled."""
+    Each head's neighbours travel as lists of about LIST entities and what is common is taken out of them pair by pair, so no wedge is shuffled
+    and no list grows with the degree."""
     other = "t" if of == "h" else "h"
     nb = durable(nb)
-    lists = nb.groupBy("h").agg(F.collect_list("t").alias("all"))
-    shared = all_common_neighbours(nb).groupBy("h", "t").agg(F.collect_list("c").alias("shared"))
+    parts = nb.groupBy("h").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
+    part = lambda c: F.pmod(F.hash(c), F.col("parts")).alias("part")
+    lists = nb.join(parts, "h").select("h", F.col("t").alias("c"), part("t")).groupBy("h", "part").agg(F.collect_list("c").alias("all"))
+    shared = all_common_neighbours(nb).join(parts, "h").select("h", "t", "c", part("c")).groupBy("h", "t", "part").agg(F.collect_list("c").alias("shared"))
     out = F.when(F.col("shared").isNull(), F.array("t")).otherwise(F.array_append("shared", F.col("t")))
-    left = nb.join(shared, ["h", "t"], "left").join(lists, "h").select("h", "t", F.explode(F.array_except("all", out)).alias("c"))
+    left = nb.join(lists, "h").join(shared, ["h", "t", "part"], "left").select("h", "t", F.explode(F.array_except("all", out)).alias("c"))
     return left.select(F.col(of).alias("h"), F.col(other).alias("t"), "c")
 
 
 def subset_pairs(nb: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Pairs (h, t), of those given or of all neighbours, whose every other neighbour of h is a neighbour of t.
+    """Pairs (h, t), of those given (ties of nb) or of all neighbours, whose every other neighbour of h is a neighbour of t.
 
-    A witness first: the rarest other neighbour of h must lie next to t, which leaves few pairs for the anti join over whole
-    neighbourhoods."""
-    nb = durable(nb)  # read six times below
-    deg = nb.groupBy("h").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "t"))
-    rare = nb.join(deg.select(F.col("h").alias("t"), "n"), "t").withColumn("r", rank).where("r <= 2").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("r", "t"))).alias("ws"))
-    one = (nb if pairs is None else pairs.select("h", "t")).join(rare, "h").select("h", "t", F.get(F.filter("ws", lambda w: w["t"] != F.col("t")), F.lit(0))["t"].alias("c"))
-    passed = durable(one.where("c is null").select("h", "t").unionByName(one.where("c is not null").join(nb.select(F.col("h").alias("c"), F.col("t")), ["c", "t"], "left_semi").select("h", "t")))
-    return passed.join(exclusive_neighbours(nb, passed).select("h", "t").distinct(), ["h", "t"], "left_anti")
+    By counts: as many common neighbours as h has neighbours beside t. Common neighbours come from triangles, each found once, and are
+    added up before the shuffle, so no neighbourhood is gathered or walked through."""
+    nb = durable(nb)
+    deg = nb.groupBy("h").agg((F.count("*") - 1).alias("others"))
+    shared = all_common_neighbours(nb).groupBy("h", "t").agg(F.count("*").alias("shared"))
+    asked = nb if pairs is None else pairs.select("h", "t")
+    return asked.join(deg, "h").join(shared, ["h", "t"], "left").where(F.coalesce("shared", F.lit(0)) == F.col("others")).select("h", "t")
 
 
 def trainable(split_edges: DataFrame, train_edges: DataFrame, mentions: DataFrame, min_pos: int = 2) -> DataFrame:
     """Edges of a split fit for contrastive training: the pair has at least min_pos training edges, the head at least min_pos + 1, and the head can be
-    told from the tail: some other neighbour of its own, or a block of its edges that does not name the tail."""
-    counts = durable(pair_counts(train_edges))
+    told from the tail: some other neighbour of its own, or a sentence of its edges that does not name the tail.
+
+    The last is a comparison of counts: the sentences of h, and those of them that name t; every edge is built and read once."""
+    train = durable(train_edges.select("h", "t", "sent_id"))
+    counts = durable(pair_counts(train))
     per_pair = counts.where(F.col("n") >= min_pos).select("h", "t")
     per_head = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pos + 1).select("h")
-    kept = split_edges.join(per_pair, ["h", "t"], "left_semi").join(per_head, "h", "left_semi")
-    pairs = kept.select("h", "t").distinct()
-    alike = subset_pairs(counts.select("h", "t"), pairs)
-    # a statement of h whose sentence does not name t
-    head_sents = train_edges.select("h", "sent_id").distinct()
+    kept = durable(split_edges.join(per_pair, ["h", "t"], "left_semi").join(per_head, "h", "left_semi"))
+    alike = subset_pairs(counts.select("h", "t"), kept.select("h", "t").distinct())
+    head_sents = durable(train.select("h", "sent_id").distinct())
+    alone = head_sents.groupBy("h").agg(F.count("*").alias("alone"))
+    # sentences of h that name t, counted over the mentions of each sentence and not over pairs times sentences
     named = mentions.select("sent_id", F.col("entity").alias("t")).distinct()
-    silent = alike.join(head_sents, "h").join(named, ["sent_id", "t"], "left_anti").select("h", "t").distinct()
-    return kept.join(alike.join(silent, ["h", "t"], "left_anti"), ["h", "t"], "left_anti")
+    both = head_sents.join(named, "sent_id").groupBy("h", "t").agg(F.count("*").alias("both"))
+    told = alike.join(alone, "h").join(both, ["h", "t"], "left").where(F.col("alone") > F.coalesce("both", F.lit(0))).select("h", "t")
+    return kept.join(alike.join(told, ["h", "t"], "left_anti"), ["h", "t"], "left_anti")
 
 
 def triplets(mentions: DataFrame) -> DataFrame:

@@ -31,6 +31,16 @@ def segment_softmax(df: DataFrame, segment: list[str], score: str) -> DataFrame:
     return shifted.join(sums, segment).withColumn("weight", F.col("__e") / F.col("__z")).drop("__m", "__e", "__z")
 
 
+def segment_attention(df: DataFrame, segment: list[str], score: str, vec: str, dim: int) -> DataFrame:
+    """Mean vector of each segment with softmax weights: one aggregate of sum(w * v) and sum(w), w = exp(score - max), combined before the shuffle.
+    Only the narrow first pass, for the maximum, is joined back."""
+    top = df.groupBy(*segment).agg(F.max(score).alias("__m"))
+    w = df.join(top, segment).withColumn("__w", F.exp(F.col(score) - F.col("__m")))
+    parts = F.array(*[F.sum(F.get(F.col(vec), F.lit(i)).cast("double") * F.col("__w")) for i in range(dim)])
+    sums = w.groupBy(*segment).agg(parts.alias("__v"), F.sum("__w").alias("__z"))
+    return sums.select(*segment, F.transform("__v", lambda x: x / F.col("__z")).alias("mean"))
+
+
 def top_k_dot(queries: DataFrame, items: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """(q_id, i_id, score, rank): the k items of greatest dot product for each query, exactly, by blocks of about `block` queries.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import graph as G
 from spanloom.plans.fixtures import m_sql, mentions, sentences, split_of
 from spanloom.plans.registry import query
-from spanloom.runtime import durable, hkey
+from spanloom.runtime import durable
 
 PART, SUPP = "l_partkey", "l_suppkey"
 
@@ -101,6 +101,8 @@ def tail_runs(spark, sf_dir):
 
 
 _PAIRS = ", n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h)"
+#: Common neighbours of every pair.
+_COMMON = _PAIRS + ", cn as (select q.h, q.t, a.t as c from n1 q join n1 a on a.h = q.h join n1 b on b.h = q.t and b.t = a.t)"
 
 
 def first_pairs(nb: DataFrame) -> DataFrame:
@@ -108,23 +110,23 @@ def first_pairs(nb: DataFrame) -> DataFrame:
     return nb.groupBy("h").agg(F.min("t").alias("t"))
 
 
-@query("graph_common_neighbours", m_sql() + _PAIRS + " select p.h, p.t, a.t as c from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t")
+@query("graph_common_neighbours", m_sql() + _COMMON + " select h, t, c from cn")
 def common(spark, sf_dir):
     return G.all_common_neighbours(G.neighbours(edges(spark, sf_dir)))
 
 
-@query("graph_head_only_neighbours", m_sql() + _PAIRS + " select p.h, p.t, a.t as c from p join n1 a on a.h = p.h where a.t <> p.t and not exists (select 1 from n1 b where b.h = p.t and b.t = a.t)")
+@query("graph_head_only_neighbours", m_sql() + _PAIRS + " select q.h, q.t, a.t as c from n1 q join n1 a on a.h = q.h where a.t <> q.t and not exists (select 1 from n1 b where b.h = q.t and b.t = a.t)")
 def head_only(spark, sf_dir):
     return G.all_exclusive_neighbours(G.neighbours(edges(spark, sf_dir)), "h")
 
 
-@query("graph_tail_only_neighbours", m_sql() + _PAIRS + " select p.h, p.t, a.t as c from p join n1 a on a.h = p.t where a.t <> p.h and not exists (select 1 from n1 b where b.h = p.h and b.t = a.t)")
+@query("graph_tail_only_neighbours", m_sql() + _PAIRS + " select q.h, q.t, a.t as c from n1 q join n1 a on a.h = q.t where a.t <> q.h and not exists (select 1 from n1 b where b.h = q.h and b.t = a.t)")
 def tail_only(spark, sf_dir):
     return G.all_exclusive_neighbours(G.neighbours(edges(spark, sf_dir)), "t")
 
 
-@query("graph_neighbour_classes", m_sql() + _PAIRS + """, c as (select p.h, p.t, a.t as c from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t)
- select c.h, c.t, c.c, (x.h is not null)::int + (y.h is not null)::int as n_chosen from c left join p x on x.h = c.h and x.t = c.c left join p y on y.h = c.c and y.t = c.t""")
+@query("graph_neighbour_classes", m_sql() + _COMMON + """
+ select c.h, c.t, c.c, (x.h is not null)::int + (y.h is not null)::int as n_chosen from cn c left join p x on x.h = c.h and x.t = c.c left join p y on y.h = c.c and y.t = c.t""")
 def neighbour_classes(spark, sf_dir):
     """Common neighbours of every pair by how many of their two connections are in a chosen set of pairs, one of each head."""
     nb = durable(G.neighbours(edges(spark, sf_dir)))
@@ -171,17 +173,21 @@ def triplets(spark, sf_dir):
     return G.triplets(mentions(spark, sf_dir, SUPP))
 
 
-@query("graph_triangles", m_sql() + """, p as (select h, t, sent_id, hs, he, ts, te from (select *, row_number() over (partition by h order by md5(concat_ws('|', 7, h, t, sent_id, hs, ts)), t, sent_id, hs, ts) as r from e) where r = 1),
- n1 as (select h, t, min(sent_id) as s from e group by h, t)
- select h, t, c from (select p.h, p.t, a.t as c, row_number() over (partition by p.h order by a.t) as r from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t
- where a.s <> p.sent_id and b.s <> p.sent_id and a.s <> b.s) where r = 1""")
+@query("graph_triangles", m_sql() + _COMMON + """, s as (select distinct h, t, sent_id from e),
+ w as (select s.h, s.t, s.sent_id, cn.c, a.sent_id as sa, b.sent_id as sb from s join cn using (h, t) join s a on a.h = s.h and a.t = cn.c join s b on b.h = cn.c and b.t = s.t)
+ select h, t, sent_id, min(c) as c from w where sa <> sent_id and sb <> sent_id and sa <> sb group by h, t, sent_id""")
 def triangles(spark, sf_dir):
-    """For a statement of each head: the first third entity tied to both ends by statements of three different sentences."""
-    e = edges(spark, sf_dir)
-    w = Window.partitionBy("h").orderBy(hkey(F.lit(7), "h", "t", "sent_id", "hs", "ts"), "t", "sent_id", "hs", "ts")
-    p = e.withColumn("r", F.row_number().over(w)).where("r = 1").select("h", "t", "sent_id")
-    n1 = e.groupBy("h", "t").agg(F.min("sent_id").alias("s"))
-    a = n1.select("h", F.col("t").alias("c"), F.col("s").alias("sa"))
-    b = n1.select(F.col("h").alias("t"), F.col("t").alias("c"), F.col("s").alias("sb"))
-    tri = p.join(a, "h").join(b, ["t", "c"]).where("sa <> sent_id and sb <> sent_id and sa <> sb")
-    return tri.groupBy("h").agg(F.min_by("t", "c").alias("t"), F.min("c").alias("c")).select("h", "t", "c")
+    """For every statement: the first third entity tied to both ends by statements of two further, different sentences.
+
+    Three sentences of a side are enough to tell whether two can be picked that differ from each other and from the statement's own, so each
+    pair carries its three least."""
+    e = durable(edges(spark, sf_dir).select("h", "t", "sent_id").distinct())
+    w = Window.partitionBy("h", "t").orderBy("sent_id")
+    few = e.withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("h", "t").agg(F.collect_list("sent_id").alias("s"))
+    c = G.all_common_neighbours(G.neighbours(e))
+    a = few.select("h", F.col("t").alias("c"), F.col("s").alias("sa"))
+    b = few.select(F.col("h").alias("c"), "t", F.col("s").alias("sb"))
+    sided = c.join(a, ["h", "c"]).join(b, ["c", "t"]).join(e, ["h", "t"])
+    other = lambda x: F.filter(x, lambda y: y != F.col("sent_id"))
+    ok = (F.size(other("sa")) > 0) & (F.size(other("sb")) > 0) & (F.size(F.array_union(other("sa"), other("sb"))) > 1)
+    return sided.where(ok).groupBy("h", "t", "sent_id").agg(F.min("c").alias("c"))

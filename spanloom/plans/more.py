@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from spanloom.plans.fixtures import m_sql, mentions, sentences
 from spanloom.plans.graph import SUPP, edges, first_pairs
 from spanloom.plans.registry import query
 from spanloom.plans.reports import _P, _preds
+from spanloom.plans.samples import _BATCHES, _E, _WEAK, RING_SQL
 from spanloom.runtime import hkey, table, u01
 
 
@@ -46,13 +49,13 @@ def edges_of_pairs(spark, sf_dir):
     return e.join(first_pairs(G.neighbours(e)), ["h", "t"], "left_semi")
 
 
-@query("graph_mutual_of_three", m_sql() + ", n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h), w as (select p.h, p.t, a.t as c from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t) select w.h, w.t, w.c, count(*) as n from w join n1 x on x.h = w.c join w w2 on w2.h = w.h and w2.t = w.t and w2.c = x.t group by 1, 2, 3")
+@query("graph_mutual_of_three", m_sql() + ", n1 as (select distinct h, t from e), w as (select p.h, p.t, a.t as c from n1 p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t) select w.h, w.t, w.c, count(*) as n from w join n1 x on x.h = w.c join w w2 on w2.h = w.h and w2.t = w.t and w2.c = x.t group by 1, 2, 3")
 def mutual_of_three(spark, sf_dir):
-    """For each common neighbour of a pair: how many entities are next to all three."""
-    nb = G.neighbours(edges(spark, sf_dir))
-    w = G.common_neighbours(nb, first_pairs(nb))
-    d = w.withColumnRenamed("c", "d")
-    return w.join(d, ["h", "t"]).join(nb.select(F.col("h").alias("c"), F.col("t").alias("d")), ["c", "d"], "left_semi").groupBy("h", "t", "c").agg(F.count("*").alias("n"))
+    """For each common neighbour of every pair: how many entities are next to all three. Four entities next to each other are found once and count for
+    each of their triangles."""
+    four = G.four_cliques(G.neighbours(edges(spark, sf_dir)))
+    threes = F.array(*(F.struct(F.col(x).alias("h"), F.col(y).alias("t"), F.col(z).alias("c")) for x, y, z in permutations("abcd", 3)))
+    return four.select(F.explode(threes).alias("w")).groupBy("w.h", "w.t", "w.c").agg(F.count("*").alias("n"))
 
 
 @query("sample_length_chunks", "with o as (select example_id, row_number() over (order by len(tokens), example_id) - 1 as rn from tacred_examples where tokens is not null), n as (select count(*) as n from o) select example_id, rn, rn // ceil(n / 7.0)::bigint as chunk from o, n")
@@ -64,7 +67,7 @@ def length_chunks(spark, sf_dir):
     return o.crossJoin(F.broadcast(total)).select("example_id", "rn", F.floor(F.col("rn") / F.col("each")).alias("chunk"))
 
 
-@query("sample_batch_statistics")
+@query("sample_batch_statistics", _BATCHES + ", p as (select sum(n) as words, count(*) as rows, max(n) * count(*) as padded from r group by shard, batch) select count(*) as batches, round(avg(words), 6) as words_per_batch, round(avg(rows), 6) as rows_per_batch, max(padded) as largest from p")
 def batch_statistics(spark, sf_dir):
     """Words and rows per batch of the token-bounded batches."""
     d = table(spark, sf_dir, "tacred_examples").where("tokens is not null").select("example_id", F.size("tokens").alias("n"))
@@ -80,12 +83,12 @@ def bernoulli_roles(spark, sf_dir):
     return e.select("id", F.when(u01(F.lit("role"), "id") < 0.3, "same_pair").otherwise("one_shared").alias("role"))
 
 
-@query("pair_filtered_weak_negatives")
+@query("pair_filtered_weak_negatives", _E + _WEAK + """, j as (select wk.a_id, wk.b_id, (a.h in (b.h, b.t) or a.t in (b.h, b.t)) as bad from wk join x a on a.id = wk.a_id join x b on b.id = wk.b_id where rank < 6)
+ select a_id, coalesce(list_sort(list(b_id) filter (not bad)), []) as negatives, count(*) filter (bad) as bad from j group by a_id""")
 def filtered_weak(spark, sf_dir):
     """Weak negatives that share no entity with the statement, and how many were left out for sharing one."""
     e = R.with_ids(edges(spark, sf_dir, SUPP))
-    pairs = R.positives(e)
-    weak = R.weak_negatives(pairs, 64, 6)
+    weak = R.weak_negatives(R.positives(e, ends=True), 64, 6)
     a = e.select(F.col("id").alias("a_id"), F.col("h").alias("ah"), F.col("t").alias("at"))
     b = e.select(F.col("id").alias("b_id"), F.col("h").alias("bh"), F.col("t").alias("bt"))
     j = weak.join(a, "a_id").join(b, "b_id").withColumn("bad", (F.col("ah").isin(F.col("bh"), F.col("bt"))) | (F.col("at").isin(F.col("bh"), F.col("bt"))))
@@ -144,7 +147,7 @@ def pair_dots(spark, sf_dir):
     return j.select("a_id", "b_id", F.round(V.dot("av", "bv"), 6).alias("score"))
 
 
-@query("score_pooled_words", "with t as (select example_id, unnest(tokens) as tok from fewrel_examples where tokens is not null), n as (select count(*) as n from embeddings), w as (select example_id, ('0x' || substr(md5(tok), 1, 8))::bigint % n as k from t, n where tok is not null and tok not in ('<head>', '<tail>', '<blank>', '.', ',')), v as (select vec_id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as d from embeddings), g as (select example_id, d, avg(x) as x from w join v on v.vec_id = w.k group by example_id, d) select example_id, list(round(x, 5) order by d) as pooled from g group by example_id")
+@query("score_pooled_words", "with t as (select example_id, unnest(tokens) as tok from fewrel_examples where tokens is not null), n as (select count(*) as n from embeddings), w as (select example_id, ('0x' || substr(md5(tok), 1, 8))::bigint % n as k from t, n where tok is not null and tok not in ('<head>', '<tail>', '<blank>', '.', ',')), v as (select vec_id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as d from embeddings), g as (select example_id, d, avg(x) as x from w join v on v.vec_id = w.k group by example_id, d) select example_id, (d - 1)::int as dim, x from g")
 def pooled_words(spark, sf_dir):
     """Mean vector of the words of a sentence, markers and stops left out; a word has the vector of its hash."""
     d = table(spark, sf_dir, "fewrel_examples").where("tokens is not null").select("example_id", F.explode("tokens").alias("tok"))
@@ -152,7 +155,7 @@ def pooled_words(spark, sf_dir):
     n = v.agg(F.count("*").alias("n"))
     d = d.where(F.col("tok").isNotNull() & ~F.col("tok").isin("<head>", "<tail>", "<blank>", ".", ",")).crossJoin(F.broadcast(n))
     d = d.select("example_id", (F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("bigint") % F.col("n")).alias("k"))
-    return C.vector_mean(C.gather(d, v, "k", "v"), ["example_id"], "v", 64).select("example_id", F.transform("mean", lambda x: F.round(x, 5)).alias("pooled"))
+    return C.vector_mean(C.gather(d, v, "k", "v"), ["example_id"], "v", 64).select("example_id", F.posexplode("mean").alias("dim", "x"))
 
 
 @query("report_multi_criterion", f"with {_P}, s as (select split, sum(-ln(greatest(p, 1e-12))) as loss, count(*) as n from p group by split) select round(sum(loss / n * case split when 'train' then 1.0 when 'dev' then 0.5 else 0.25 end), 6) as loss, round(coalesce(sum(loss / n) filter (split = 'dev'), 0), 6) as dev_loss, round(coalesce(sum(loss / n) filter (split = 'none'), 0), 6) as none_loss from s")
@@ -200,32 +203,28 @@ def ranks_by_split(spark, sf_dir):
     return X.ranked(_preds(spark, sf_dir), "p", ["example_id"], ["split"]).select("split", "example_id", "rank")
 
 
-_WF = m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h),
- c as (select p.h, p.t, a.t as c, 0 as kind from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t
-  union all select p.h, p.t, a.t, 1 from p join n1 a on a.h = p.t where a.t <> p.h and not exists (select 1 from n1 b where b.h = p.h and b.t = a.t)
-  union all select p.h, p.t, a.t, 2 from p join n1 a on a.h = p.h where a.t <> p.t and not exists (select 1 from n1 b where b.h = p.t and b.t = a.t)),
+_WF = RING_SQL + f""",
  n as (select h, t, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2 from c group by h, t),
- k as (select h, t, least(n0, 6) as k0, least(n1, 6 - least(n0, 6) + 3) as k1, n2 from n), k2 as (select h, t, k0, k1, least(n2, 9 - k0 - k1 + 3) as k2 from k),
- r as (select *, row_number() over (partition by h, t, kind order by md5(concat_ws('|', 1, h, t, c)), c) as place from c)
- select h, t, c, kind from r join k2 using (h, t) where place <= case kind when 0 then k0 when 1 then k1 else k2 end"""
+ al as (select q.h, q.t, coalesce(n0, 0) as n0, coalesce(n.n1, 0) as nt, coalesce(n2, 0) as n2 from n1 q left join n using (h, t)),
+ k as (select h, t, least(n0, 6) as k0, least(nt, 6 - least(n0, 6) + 3) as k1, n2 from al), k2 as (select h, t, k0, k1, least(n2, 9 - k0 - k1 + 3) as k2 from k),
+ r as (select *, row_number() over (partition by h, t, kind order by step) as place from c), parts as (select count(*) as parts from part)
+ select h, t, c, kind, place::int as place from r join k2 using (h, t) where place <= case kind when 0 then k0 when 1 then k1 else k2 end
+ union all select h, t, floor({_u("'any'", '1', 'h', 't', 'place')} * parts)::bigint, 3, place::int from (select h, t, unnest(range(1, 15 - k0 - k1 - k2)) as place from k2), parts"""
 
 
 @query("pair_waterfall_negatives", _WF)
 def waterfall(spark, sf_dir):
-    """Six common neighbours, three of the tail's own, three of the head's own; what a kind lacks goes to the next."""
-    nb = G.neighbours(edges(spark, sf_dir))
-    p = first_pairs(nb)
-    c = G.common_neighbours(nb, p).withColumn("kind", F.lit(0)).unionByName(G.exclusive_neighbours(nb, p, "t").withColumn("kind", F.lit(1))).unionByName(G.exclusive_neighbours(nb, p, "h").withColumn("kind", F.lit(2)))
-    return R.negatives_waterfall(c, [6, 3, 3])
+    """For every pair six common neighbours, three of the tail's own, three of the head's own, two of any; what a kind lacks goes to the next."""
+    return R.negatives_waterfall(G.neighbours(edges(spark, sf_dir)), [6, 3, 3, 2], n_entities=table(spark, sf_dir, "part").count())
 
 
 @query("score_gated_sum", m_sql() + """, n1 as (select distinct h, t from e), nv as (select count(*) as n from embeddings), ev as (select vec_id, embedding::double[] as v from embeddings), s as (select n1.h, b.v as v, 1 / (1 + exp(-list_dot_product(a.v, b.v))) as w from n1 join nv on true join ev a on a.vec_id = n1.h % n join ev b on b.vec_id = n1.t % n),
- uu as (select h, unnest(v) as x, generate_subscripts(v, 1) as d, w from s), g as (select h, d, sum(x * w) as x from uu group by h, d) select h, list(round(x, 5) order by d) as total from g group by h""")
+ uu as (select h, unnest(v) as x, generate_subscripts(v, 1) as d, w from s), g as (select h, d, sum(x * w) as x from uu group by h, d) select h, (d - 1)::int as dim, x from g""")
 def gated_sum(spark, sf_dir):
     """Neighbour vectors summed with the sigmoid of their score as a gate."""
     from spanloom.plans.scores import _pair_scores
 
-    return C.vector_sum(_pair_scores(spark, sf_dir), ["h"], "tv", 64, V.sigmoid("x")).select("h", F.transform("total", lambda x: F.round(x, 5)).alias("total"))
+    return C.vector_sum(_pair_scores(spark, sf_dir), ["h"], "tv", 64, V.sigmoid("x")).select("h", F.posexplode("total").alias("dim", "x"))
 
 
 @query("score_passage_compatibility", m_sql() + ", nv as (select count(*) as n from embeddings), v as (select sent_id, rn, embedding::double[] as v from (select sent_id, rn, entity % n as vec_id from m, nv) join embeddings using (vec_id)) select a.sent_id, round(sum(list_dot_product(a.v, b.v)) / (2.0 * 64 * count(*)), 6) as score from v a join v b on a.sent_id = b.sent_id group by a.sent_id")

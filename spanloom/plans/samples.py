@@ -8,7 +8,7 @@ from spanloom.operators import graph as G
 from spanloom.operators import pairs as R
 from spanloom.operators import sampling as S
 from spanloom.plans.fixtures import m_sql, mentions
-from spanloom.plans.graph import SUPP, edges, first_pairs
+from spanloom.plans.graph import SUPP, edges
 from spanloom.plans.registry import query
 from spanloom.runtime import table
 
@@ -84,7 +84,15 @@ def stratified(spark, sf_dir):
     return S.stratified_split(_examples(spark, sf_dir).where("relation is not null"), "relation", ["example_id"], 0.2, 3)
 
 
-@query("sample_token_batches")
+#: Batches by a fold over the rows of each shard, in order of length.
+_BATCHES = f"""with recursive t as (select example_id, len(tokens)::bigint as n, floor({_u(chr(39) + 'shard' + chr(39), 'example_id')} * 8)::int as shard from tacred_examples where tokens is not null),
+ o as (select *, row_number() over (partition by shard order by n, example_id) as rn from t),
+ r as (select shard, rn, example_id, n, 0 as batch, 1 as rows from o where rn = 1 union all
+  select o.shard, o.rn, o.example_id, o.n, case when greatest(r.n, o.n) * (r.rows + 1) > 2000 or r.rows >= 64 then r.batch + 1 else r.batch end,
+   case when greatest(r.n, o.n) * (r.rows + 1) > 2000 or r.rows >= 64 then 1 else r.rows + 1 end from r join o on o.shard = r.shard and o.rn = r.rn + 1)"""
+
+
+@query("sample_token_batches", _BATCHES + " select shard, batch, example_id from r")
 def token_batches(spark, sf_dir):
     d = _examples(spark, sf_dir).where("tokens is not null").withColumn("n", F.size("tokens"))
     return S.token_batches(d, "example_id", "n", 2000, 64)
@@ -112,11 +120,11 @@ def positives(spark, sf_dir):
     return R.positives(_ids(spark, sf_dir))
 
 
-@query("pair_strong_negatives", _E + """, o as (select h, t, arg_min(id, (md5(concat_ws('|', 1, id)), id)) as id, arg_min(sent_id, (md5(concat_ws('|', 1, id)), id)) as sent_id from x group by h, t),
- r as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn from o), ms as (select distinct sent_id, entity from m),
- c as (select a.h, a.t as old_t, b.rn - a.rn as rank, b.t as new_t, b.id as b_id, b.sent_id from r a join r b on a.h = b.h and b.rn > a.rn and b.rn <= a.rn + 8
-  where not exists (select 1 from ms where ms.sent_id = b.sent_id and ms.entity = a.t)),
- f as (select h, old_t, arg_min(b_id, rank) as b_id, arg_min(new_t, rank) as new_t from c group by h, old_t)
+@query("pair_strong_negatives", _E + """, n1 as (select distinct h, t from e), r as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn, count(*) over (partition by h) as n from n1), ms as (select distinct sent_id, entity from m),
+ k as (select a.h, a.t as old_t, b.t as new_t, (b.rn - a.rn + a.n) % a.n as step from r a join r b on a.h = b.h and a.t <> b.t),
+ c as (select k.h, old_t, new_t, step, x.id as b_id from k join x on x.h = k.h and x.t = k.new_t where not exists (select 1 from ms where ms.sent_id = x.sent_id and ms.entity = k.old_t)),
+ s as (select h, old_t, min(step) as step from c group by h, old_t),
+ f as (select h, old_t, arg_min(b_id, (md5(concat_ws('|', 1, b_id)), b_id)) as b_id, min(new_t) as new_t from c join s using (h, old_t, step) group by h, old_t)
  select x.id as a_id, f.b_id, f.new_t from x join f on x.h = f.h and x.t = f.old_t""")
 def strong_negatives(spark, sf_dir):
     e = _ids(spark, sf_dir)
@@ -126,17 +134,22 @@ def strong_negatives(spark, sf_dir):
 _EP = m_sql() + ", x as (select *, md5(concat_ws('|', h, t, sent_id, hs, ts)) as id from e), n1 as (select distinct h, t from e)"
 
 
-@query("pair_sharing_one_entity", _EP + """, o as (select h, t, min(id) as id from x group by h, t), r as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn from o),
- c as (select a.h, a.t, b.rn - a.rn as rank, b.id from r a join r b on a.h = b.h and b.rn > a.rn and b.rn <= a.rn + 8 join n1 q on q.h = a.t and q.t = b.t),
+@query("pair_sharing_one_entity", _EP + """, o as (select h, t, min(id) as id from x group by h, t), r as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn, count(*) over (partition by h) as n from o),
+ c as (select a.h, a.t, (b.rn - a.rn + a.n) % a.n as rank, b.id from r a join n1 q on q.h = a.t join r b on b.h = a.h and b.t = q.t),
  b as (select h, t, arg_min(id, rank) as b_id from c group by h, t) select x.id as a_id, b.b_id from x join b using (h, t)""")
 def sharing_one(spark, sf_dir):
     e = _ids(spark, sf_dir, "l_partkey")
     return R.sharing_one(e, G.neighbours(e))
 
 
-@query("pair_weak_negatives")
+_WEAK = """, po as (select h, t, id as a_id, coalesce(lead(id) over w, first_value(id) over w) as b_id from x window w as (partition by h, t order by md5(concat_ws('|', 1, id)), id)),
+ o as (select *, row_number() over (order by md5(concat_ws('|', 1, a_id)), a_id) - 1 as rn from po where a_id <> b_id), g as (select *, rn // 64 as g, count(*) over (partition by rn // 64) as n from o),
+ wk as (select a.a_id, b.b_id, row_number() over (partition by a.a_id order by (b.rn - a.rn + a.n) % a.n) - 1 as rank from g a join g b on a.g = b.g and a.rn <> b.rn and (a.h <> b.h or a.t <> b.t))"""
+
+
+@query("pair_weak_negatives", _E + _WEAK + " select a_id, b_id, rank from wk where rank < 4")
 def weak_negatives(spark, sf_dir):
-    return R.weak_negatives(R.positives(_ids(spark, sf_dir)), 64, 4)
+    return R.weak_negatives(R.positives(_ids(spark, sf_dir), ends=True), 64, 4)
 
 
 @query("pair_distance_classes", _E + """, p as (select a_id, b_id from (select id as a_id, lead(id) over (order by md5(concat_ws('|', 5, id)), id) as b_id from (select min(id) as id from x group by h, t)) where b_id is not null)
@@ -153,14 +166,16 @@ def distance_classes(spark, sf_dir):
     return R.distance_class(a.join(b, "rn"), None).select("a_id", "b_id", "shared")
 
 
-@query("pair_tail_replacements", m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h),
- c as (select p.h, p.t, a.t as c, 0 as kind from p join n1 a on a.h = p.h join n1 b on b.h = p.t and b.t = a.t
-  union all select p.h, p.t, a.t, 1 from p join n1 a on a.h = p.h where a.t <> p.t and not exists (select 1 from n1 b where b.h = p.t and b.t = a.t))
- select h, t, c, kind, place from (select *, row_number() over (partition by h, t order by kind, md5(concat_ws('|', 1, h, t, c)), c) as place from c) where place <= 10""")
+#: Replacements of every pair: common neighbours (0), the tail's own (1), the head's own (2), with their place in the ring.
+RING_SQL = m_sql() + """, n1 as (select distinct h, t from e), rg as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn, count(*) over (partition by h) as n from n1),
+ ho as (select q.h, q.t, a.t as c, (a.rn - q.rn + q.n) % q.n as step, exists (select 1 from n1 b where b.h = q.t and b.t = a.t) as shared from rg q join rg a on a.h = q.h and a.t <> q.t),
+ c as (select h, t, c, 0 as kind, step from ho where shared union all select t, h, c, 1, step from ho where not shared union all select h, t, c, 2, step from ho where not shared)"""
+
+
+@query("pair_tail_replacements", RING_SQL + """ select h, t, c, kind // 2 as kind, place from (select *, row_number() over (partition by h, t order by kind, step) as place from c where kind <> 1) where place <= 10""")
 def tail_replacements(spark, sf_dir):
-    nb = G.neighbours(edges(spark, sf_dir))
-    pairs = first_pairs(nb)
-    return R.negatives_by_class(pairs, G.common_neighbours(nb, pairs), G.exclusive_neighbours(nb, pairs), 10)
+    """For every pair: ten entities for its tail, common neighbours first."""
+    return R.negatives_by_class(G.neighbours(edges(spark, sf_dir)), 10)
 
 
 @query("pair_entity_statement", m_sql() + " select h, sent_id, t, hs from (select *, row_number() over (partition by h order by md5(concat_ws('|', 4, h, t, sent_id, hs, ts)), t, sent_id, hs, ts) as r from e) where r = 1")

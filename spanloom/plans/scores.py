@@ -8,7 +8,7 @@ from spanloom.functions import vectors as V
 from spanloom.operators import graph as G
 from spanloom.operators import scoring as C
 from spanloom.plans.fixtures import m_sql
-from spanloom.plans.graph import edges, first_pairs
+from spanloom.plans.graph import edges
 from spanloom.plans.registry import query
 from spanloom.runtime import table
 
@@ -18,17 +18,17 @@ def _vec(spark, sf_dir):
 
 
 def _triples(spark, sf_dir):
-    """(h, t, hv, tv, mv): a pair of each head, with a relation vector by their sum."""
+    """(h, t, hv, tv, mv): every pair of neighbours, with a relation vector by their sum."""
     v = _vec(spark, sf_dir).select("vec_id", "embedding")
     n = _vec(spark, sf_dir).agg(F.count("*").alias("n"))
-    p = first_pairs(G.neighbours(edges(spark, sf_dir))).crossJoin(F.broadcast(n))
+    p = G.neighbours(edges(spark, sf_dir)).crossJoin(F.broadcast(n))
     p = p.select("h", "t", (F.col("h") % F.col("n")).alias("hi"), (F.col("t") % F.col("n")).alias("ti"), ((F.col("h") + F.col("t")) % F.col("n")).alias("mi"))
     for k, out in (("hi", "hv"), ("ti", "tv"), ("mi", "mv")):
         p = C.gather(p, v, k, out)
     return p.select("h", "t", "hv", "tv", "mv")
 
 
-_T = m_sql() + """, n1 as (select h, min(t) as t from e group by h), nv as (select count(*) as n from embeddings), ev as (select vec_id, embedding::double[] as v from embeddings),
+_T = m_sql() + """, n1 as (select distinct h, t from e), nv as (select count(*) as n from embeddings), ev as (select vec_id, embedding::double[] as v from embeddings),
 tr as (select n1.h, n1.t, a.v as hv, b.v as tv, c.v as mv from n1, nv, ev a, ev b, ev c where a.vec_id = n1.h % n and b.vec_id = n1.t % n and c.vec_id = (n1.h + n1.t) % n)"""
 
 
@@ -58,9 +58,9 @@ def dual_side(spark, sf_dir):
 _P = "pr as (select label, d, avg(x) as m from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as d from embeddings) group by label, d), pv as (select label, list(m order by d) as m from pr group by label)"
 
 
-@query("score_prototypes", f"with {_P} select label, list_transform(m, lambda x: round(x, 6)) as mean from pv")
+@query("score_prototypes", f"with {_P} select label, (d - 1)::int as dim, m as x from pr")
 def prototypes(spark, sf_dir):
-    return C.vector_mean(_vec(spark, sf_dir), ["label"], "embedding", 64).select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+    return C.vector_mean(_vec(spark, sf_dir), ["label"], "embedding", 64).select("label", F.posexplode("mean").alias("dim", "x"))
 
 
 @query("score_few_shot_classes", f"with {_P}, s as (select vec_id, pv.label, round(list_dot_product(embedding::double[], m), 6) as score from embeddings, pv) select vec_id, arg_min(label, (-score, label)) as label, max(score) as score from s group by vec_id")
@@ -103,22 +103,20 @@ def _pair_scores(spark, sf_dir):
     return p.select("h", "t", "tv", V.dot("hv", "tv").alias("x"))
 
 
-@query("score_segment_sums", _NB + """s as (select n1.h, unnest(b.v) as x, generate_subscripts(b.v, 1) as d from n1, nv, ev b where b.vec_id = n1.t % n), g as (select h, d, sum(x) as x from s group by h, d)
- select h, list_transform(list(x order by d), lambda x: round(x, 5)) as total from g group by h""")
+@query("score_segment_sums", _NB + """s as (select n1.h, unnest(b.v) as x, generate_subscripts(b.v, 1) as d from n1, nv, ev b where b.vec_id = n1.t % n) select h, (d - 1)::int as dim, sum(x) as x from s group by h, d""")
 def segment_sums(spark, sf_dir):
     """Sum of neighbour vectors per entity: a message-passing step."""
     v = _vec(spark, sf_dir).select("vec_id", "embedding")
     n = v.agg(F.count("*").alias("n"))
     p = C.gather(G.neighbours(edges(spark, sf_dir)).crossJoin(F.broadcast(n)).select("h", (F.col("t") % F.col("n")).alias("ti")), v, "ti", "tv")
-    return C.vector_sum(p, ["h"], "tv", 64).select("h", F.transform("total", lambda x: F.round(x, 5)).alias("total"))
+    return C.vector_sum(p, ["h"], "tv", 64).select("h", F.posexplode("total").alias("dim", "x"))
 
 
 @query("score_attention_layer", _NB + """s as (select n1.h, n1.t, b.v as v, list_dot_product(a.v, b.v) as x from n1, nv, ev a, ev b where a.vec_id = n1.h % n and b.vec_id = n1.t % n), z as (select h, max(x) as m from s group by h),
  w as (select s.h, v, exp(x - m) as w from s join z using (h)), w2 as (select h, v, w / sum(w) over (partition by h) as w from w), uu as (select h, unnest(v) as x, generate_subscripts(v, 1) as d, w from w2), g as (select h, d, sum(x * w) as x from uu group by h, d)
- select h, list_transform(list(x order by d), lambda x: round(x, 5)) as total from g group by h""")
+ select h, (d - 1)::int as dim, x from g""")
 def attention_layer(spark, sf_dir):
-    w = C.segment_softmax(_pair_scores(spark, sf_dir), ["h"], "x")
-    return C.vector_sum(w, ["h"], "tv", 64, F.col("weight")).select("h", F.transform("total", lambda x: F.round(x, 5)).alias("total"))
+    return C.segment_attention(_pair_scores(spark, sf_dir), ["h"], "x", "tv", 64).select("h", F.posexplode("mean").alias("dim", "x"))
 
 
 @query("score_similar_entities", """with s as (select a.vec_id as entity, b.vec_id as candidate, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)

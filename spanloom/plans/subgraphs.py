@@ -13,7 +13,7 @@ from spanloom.plans.fixtures import m_sql, mentions
 from spanloom.plans.graph import edges, first_pairs
 from spanloom.plans.registry import query
 from spanloom.plans.scores import _similar
-from spanloom.runtime import hkey, table, u01
+from spanloom.runtime import durable, hkey, table, u01
 
 
 def _seeds(nb):
@@ -37,7 +37,7 @@ def statistics(spark, sf_dir):
     return per.agg(F.count("*").alias("seeds"), F.round(F.avg("y"), 6).alias("mean_yield"), F.round(F.percentile("y", 0.5), 6).alias("median_yield"), F.sum("n").alias("statements")).crossJoin(uses)
 
 
-_C = m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h), q as (select h, t from p where h < t),
+_C = m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t) as t from n1 group by h), q as (select h, t from n1 where h < t),
  c as (select q.h, q.t, a.t as c, (x.h is not null)::int + (y.h is not null)::int as k from q join n1 a on a.h = q.h join n1 b on b.h = q.t and b.t = a.t left join p x on x.h = q.h and x.t = a.t left join p y on y.h = a.t and y.t = q.t),
  g as (select q.h, q.t, count(c.c) as total, count(*) filter (k = 2) as both_in, count(*) filter (k = 1) as single from q left join c using (h, t) group by q.h, q.t)"""
 
@@ -46,11 +46,11 @@ _C = m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t)
  case when single > greatest(least(2, total) - both_in, 0) then greatest(least(2, total) - both_in, 0) else single + 2 * (greatest(least(2, total) - both_in, 0) - single) end else -1 end + 1 end as cost,
  round(case when total = 0 then 1.0 else both_in / total end, 6) as coverage from g""")
 def cover_costs(spark, sf_dir):
-    """Cost and coverage of pairs, with the chosen pairs as the subgraph."""
-    nb = G.neighbours(edges(spark, sf_dir))
+    """Cost and coverage of every pair, with the chosen pairs, one of each entity, as the subgraph."""
+    nb = durable(G.neighbours(edges(spark, sf_dir)))
     chosen = first_pairs(nb)
-    q = chosen.where("h < t")
-    c = G.common_neighbours(nb, q)
+    q = nb.where("h < t")
+    c = G.all_common_neighbours(nb).where("h < t")
     x = chosen.select("h", F.col("t").alias("c"), F.lit(1).alias("x"))
     y = chosen.select(F.col("h").alias("c"), "t", F.lit(1).alias("y"))
     k = c.join(x, ["h", "c"], "left").join(y, ["c", "t"], "left").select("h", "t", (F.coalesce("x", F.lit(0)) + F.coalesce("y", F.lit(0))).alias("k"))

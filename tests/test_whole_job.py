@@ -6,7 +6,6 @@ from hashlib import md5
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import p2_overlap as O
 from spanloom.operators import graph as G
 from spanloom.operators import pairs as R
 from spanloom.plans import graph as plans
@@ -114,16 +113,3 @@ def test_every_statement_that_can_gets_a_strong_negative(spark):
     got = R.strong_negatives(e, G.neighbours(e), m).collect()
     assert any((rows[i].h, rows[i].t) == (100, 101) for i in want)
     assert len(got) == len(want) and {r.a_id: (r.b_id, r.new_t) for r in got} == want
-
-
-def test_overlap_survives_one_deletion_and_two_insertions():
-    a = [f"w{k}" for k in range(19)]
-    b = a[:3] + a[4:9] + ["x"] + a[9:14] + ["y"] + a[14:]
-    assert len(b) == 20 and O.agreement(a, b) == 0.9
-    assert O.overlaps([a], [b]) == [(0, 0, 0.9)]
-
-
-def test_seeds_outnumber_what_edits_can_break():
-    for n in range(1, 130):
-        broken = max(n + m - 2 * c for m in range(1, 2 * n + 2) for c in range(min(n, m) + 1) if 10 * c >= 9 * max(n, m))
-        assert O.seeds_of(n) == broken + 1
