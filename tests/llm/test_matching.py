@@ -29,16 +29,20 @@ def test_common_words_is_the_longest_common_subsequence(a, b):
 
 def test_index_counts_and_places_every_pattern():
     rnd = random.Random(1)
-    seqs = [[rnd.choice("abc") for _ in range(rnd.randint(0, 30))] for _ in range(15)]
-    index = O.FullTextIndex(seqs)
-    for n in range(1, 5):
+    seqs = [["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 12))] for _ in range(30)]
+    index = O.FullTextIndex.from_bytes(O.FullTextIndex(seqs).to_bytes())
+    flat = ["".join(s) for s in seqs]
+    assert len(index.run_start) < index.n and len(index.places) < index.n / 2
+    for n in range(1, 9):
         for _ in range(30):
-            pat = [rnd.choice("abc") for _ in range(n)]
+            pat = "".join(rnd.choice("abc") for _ in range(n))
             lo, hi = np.zeros(1, np.int64), np.full(1, index.n)
-            for w in reversed(pat):
-                lo, hi = index.step(np.array([index.vocabulary[w]]), lo, hi)
-            want = sorted((i, k) for i, s in enumerate(seqs) for k in range(len(s) - n + 1) if s[k : k + n] == pat)
-            assert sorted((int(index.owner[p]), int(p - index.starts[index.owner[p]])) for p in index.places[lo[0] : hi[0]]) == want
+            for c in reversed(pat):
+                lo, hi = index.step(index.codes(np.array([ord(c)], dtype=np.uint32)), lo, hi)
+            want = sorted((i, k) for i, s in enumerate(flat) for k in range(len(s) - n + 1) if s[k : k + n] == pat)
+            places = index.locate(np.arange(lo[0], hi[0]))
+            owner = np.searchsorted(index.starts, places, "right") - 1
+            assert sorted((int(e), int(p - index.starts[e])) for e, p in zip(owner, places)) == want
 
 
 def _record(rnd, vocabulary):
@@ -166,4 +170,50 @@ def test_overlap_survives_one_deletion_and_two_insertions():
 def test_seeds_outnumber_what_edits_can_break():
     for n in range(1, 130):
         broken = max(n + m - 2 * c for m in range(1, 2 * n + 2) for c in range(min(n, m) + 1) if 10 * c >= 9 * max(n, m))
-        assert O.seeds_of(n) == broken + 1
+        assert O._plain_seeds(n) == broken + 1 <= O.seeds_of(n)
+        assert sum(x for _, _, x in O.segments(n)) >= min(n, O.seeds_of(n))
+
+
+def test_no_link_is_lost_at_any_length_by_edits_and_divisions():
+    rnd = random.Random(11)
+    vocabulary = [a + b + c for a in "bdfgk" for b in "aeiou" for c in ("n", "r", "st")]
+    links = 0
+    for n in [*range(1, 61), 150, 400]:
+        train = [[rnd.choice(vocabulary) for _ in range(n)] for _ in range(3)]
+        held = []
+        for s in train * 3:
+            s = list(s)
+            for _ in range(rnd.randint(0, max(1, n // 8))):
+                k, x = rnd.randrange(len(s)), rnd.random()
+                if x < 0.4:
+                    s.insert(k, rnd.choice(vocabulary))
+                elif x < 0.55:
+                    s[k] = rnd.choice(vocabulary)
+                elif x < 0.7 and len(s) > 1:
+                    del s[k]
+                elif len(s[k]) > 1:
+                    s[k : k + 1] = [s[k][:1], s[k][1:]]
+            held.append(s)
+        got = {(i, j): x for i, j, x in O.overlaps(train, held)}
+        want = {(i, j): O.agreement(a, b) for i, a in enumerate(train) for j, b in enumerate(held)}
+        assert got == {k: x for k, x in want.items() if x >= 0.9}
+        links += len(got)
+    assert links > 200
+
+
+def test_division_does_not_matter_to_agreement():
+    words = [f"word{k}" for k in range(19)]
+    split = [x for k, w in enumerate(words) for x in ([w[:2], w[2:]] if k in (3, 9, 12, 16) else [w])]
+    assert O.agreement(words, split) == 1.0
+    split[0] = "other"
+    assert O.agreement(words, split) == pytest.approx(22 / 23)
+    assert O.overlaps([words], [split]) == [(0, 0, pytest.approx(22 / 23))] and O.overlaps([split], [words]) == [(0, 0, pytest.approx(22 / 23))]
+    assert O.agreement(["ab", "c"], ["a", "bc"]) == 1.0 and O.agreement([], []) == 0.0
+
+
+def test_a_very_long_record_is_chosen_in_segments():
+    rnd = random.Random(3)
+    long = [f"w{rnd.randrange(3000)}" for _ in range(30_000)]
+    other = long[:9000] + ["new"] * 500 + long[9500:]
+    assert max(x for _, x, _ in O.segments(30_000)) <= O.SEGMENT
+    assert O.overlaps([long], [other]) == [(0, 0, pytest.approx(29_500 / 30_000))]
