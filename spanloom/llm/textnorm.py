@@ -20,20 +20,27 @@ HYPHENS = "‐‑"
 CASELESS_FROM = "внктмαβεζηικμνρτυχ"
 CASELESS_TO = "bhktmabezhikmnptyx"
 
-_TABLE = {ord(a): b for a, b in zip(LOOKALIKE_FROM + ACCENTED_FROM, LOOKALIKE_TO + ACCENTED_TO, strict=True)}
-_TABLE |= {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS}
-_CASELESS = {ord(a): b for a, b in zip(CASELESS_FROM, CASELESS_TO, strict=True)}
+_TABLE = dict(zip(LOOKALIKE_FROM + ACCENTED_FROM, LOOKALIKE_TO + ACCENTED_TO, strict=True))
+_TABLE |= dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-")
+_CASELESS = dict(zip(CASELESS_FROM, CASELESS_TO, strict=True))
+
+
+def _mapped(text: str, table: dict[str, str]) -> str:
+    """Characters by a table that maps to none of its own keys; only those at hand are looked for."""
+    for c in table.keys() & set(text):
+        text = text.replace(c, table[c])
+    return text
 
 
 def reading_form(text: str) -> str:
     """What a reader sees: NFKC, look-alikes as Latin, nothing invisible, plain spaces and hyphens."""
     if text.isascii():
         return text.replace("\t", " ")
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)).translate(_TABLE)
+    text = _mapped(unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)), _TABLE)
     return unicodedata.normalize("NFC", text)
 
 
 def caseless_form(text: str) -> str:
     """The reading form with letter case set aside as well."""
     text = reading_form(text).lower()
-    return text if text.isascii() else text.translate(_CASELESS)
+    return text if text.isascii() else _mapped(text, _CASELESS)

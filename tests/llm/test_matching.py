@@ -113,18 +113,26 @@ def test_reading_and_caseless_forms():
 ITEM = "Paethafru Inc. lies 19.92 km west of Baie de Drevedrour, against the advice of the glossary board of Porknindza. The ferry leaves Stoshe at 6 a.m. and reaches Klev by 1.30 p.m. on most days."
 
 
-def test_suffix_array_matches_equal_brute_force():
+@pytest.mark.parametrize("pairs", [4_000_000, 20])
+def test_suffix_array_matches_equal_brute_force(pairs, monkeypatch):
+    monkeypatch.setattr(L, "PAIRS", pairs)
     rnd = random.Random(3)
     docs = [[rnd.choice("abcd") for _ in range(rnd.randint(0, 25))] for _ in range(12)]
-    items = L.Items([(i, [rnd.choice("abcd") for _ in range(rnd.randint(2, 10))]) for i in range(5)], 3)
-    seqs = [np.array([items.ids.get(t, 0) for t in d], dtype=np.int64) for d in docs]
-    ids = np.concatenate([np.append(s, 0) for s in seqs])
-    lens = np.array([len(s) for s in seqs])
-    start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-    got = {tuple(map(int, r)) for r in L.matches(ids, np.repeat(np.arange(len(docs)), lens + 1), start, items)}
+    rows = [(i, [rnd.choice("abcde") for _ in range(rnd.randint(1, 10))]) for i in range(8)]
+    shelf = L.Shelf(list(enumerate(docs)), 30, "w")
+    suffixes = [shelf.ids[p : shelf.end[p]].tolist() for p in shelf.order]
+    assert suffixes == sorted(suffixes)
+    items = L.Items(rows, shelf.code, "w")
+    length, *_ = L.longest_matches(shelf, items, 3)
+    flat = ["".join(d) for d in docs]
+    for n in range(len(items.ids)):
+        i = int(items.owner[n])
+        t = "".join(rows[i][1])[n - int(items.start[i]) :]
+        assert length[n] == max(m for m in range(len(t) + 1) if any(t[:m] in d for d in flat))
+    got = [tuple(map(int, r)) for part in L.matches(shelf, items, 3) for r in part]
     want = set()
-    for d, s in enumerate(seqs):
-        for i, t in enumerate(items.seq):
+    for d, s in enumerate(docs):
+        for i, t in rows:
             for p in range(len(t)):
                 for q in range(len(s)):
                     if (p and q and t[p - 1] == s[q - 1]) or t[p] != s[q]:
@@ -132,9 +140,26 @@ def test_suffix_array_matches_equal_brute_force():
                     n = 0
                     while p + n < len(t) and q + n < len(s) and t[p + n] == s[q + n]:
                         n += 1
-                    if n >= items.k:
+                    if n >= min(3, len(t)):
                         want.add((d, i, p, q, n))
-    assert got == want
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_no_document_and_no_item_goes_unread(spark):
+    texts = {
+        1: "What is the capital of France?", 2: "ສະບາຍດີທຸກຄົນທີ່ຢູ່ໃນເມືອງນີ້", 3: "วันนี้อากาศดีมากและเราจะไปตลาดด้วยกัน", 4: "So it is: Yes, we can!", 5: "ភាសាខ្មែរជាភាសាផ្លូវការរបស់ប្រទេសកម្ពុជា", 6: "word " * 3 + "thing",
+    }
+    items = {10: "what is the capital of France", 20: texts[2], 30: texts[3] + "x", 40: "yes we can", 50: texts[5], 60: "nothing", 70: "?!"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    e = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in L.leaks(d, e).collect()} == {(1, 10), (2, 20), (3, 30), (4, 40), (5, 50)}
+
+
+def test_a_large_vocabulary_changes_nothing():
+    item = [f"i{k}" for k in range(12)]
+    docs = [(0, [f"v{k}" for k in range(100_000)]), (1, ["x", *item, "y"])]
+    shelf = L.Shelf(docs, 12, "w")
+    assert L._search(shelf, "w", [(7, item)]) == [(1, 7, 1.0, 0)]
 
 
 def test_leaks(spark):
