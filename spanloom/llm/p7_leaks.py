@@ -22,8 +22,8 @@ from spanloom.runtime import shared_dir, table
 
 #: Tokens of one suffix array, characters of test items in one shard, and pairs of item suffix and place looked at together.
 BLOCK_TOKENS, ITEM_CHARS, PAIRS = 1_500_000, 4_000_000, 4_000_000
-#: Share of an item that a document must hold; changes per held token, and some more, that are still "about one in ten".
-SHARE, CHANGED = 0.48, 0.16
+#: Share of an item that a document must hold; changes per held token, and one more, that are still "about one in ten".
+SHARE, CHANGED = 0.5, 0.1
 #: Per mode (words, characters): tokens of a seed, widest gap within a stretch, and room for a sentence between two stretches.
 MODES = {"w": (4, 6, 45), "c": (5, 9, 100)}
 
@@ -58,13 +58,21 @@ def _coded(texts: list, code: dict[str, int], mode: str, grow: bool) -> np.ndarr
     return np.array([code.get(chr(c), 0) for c in distinct.tolist()], dtype=np.int64)[which] if len(letters) else np.zeros(0, np.int64)
 
 
-def modes_of(text: str, item: bool) -> list[str]:
-    """An item is read in one mode: by characters where more than three in ten are of a spaceless script, else by words. A document is read by
-    words, and by characters as well where it has any of a spaceless script, so that none goes unread."""
-    n = 0 if text.isascii() else len(_ONE.findall(text))
-    if item:
-        return ["c"] if n > 0.3 * max(1, len(_CHAR.findall(text))) else ["w"]
-    return ["w", "c"] if n else ["w"]
+def spaceless(text: str) -> int:
+    """Letters of scripts without spaces."""
+    return 0 if text.isascii() else len(_ONE.findall(text))
+
+
+def mode_of(item: str) -> str:
+    """How an item is read: by characters where more than three in ten are of a spaceless script, else by words."""
+    return "c" if spaceless(item) > 0.3 * max(1, len(_CHAR.findall(item))) else "w"
+
+
+def needed(item: str) -> int:
+    """Letters of spaceless scripts that a document must have to hold an item read by characters: all of a short item's, else half of them less the
+    changes, as half of the item without those would be names in another script."""
+    n, own = len(_CHAR.findall(item)), spaceless(item)
+    return own if n < 2 * MODES["c"][0] else int(SHARE * (1 - CHANGED) * own)
 
 
 def suffix_array(ids: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -334,6 +342,7 @@ def leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col
         store, folder = _open(path)
         files = sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
         kept: list = []
+        need = [1 << 60]
 
         def shards():
             """{mode: [(item, tokens)]} of one shard at a time; the only one is kept."""
@@ -345,13 +354,18 @@ def leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col
                 with store.open_input_file(name) as f:
                     rows = set(zip(*(c.to_pylist() for c in pq.read_table(f, columns=["i", "t"]).columns), strict=True))
                 for i, t in sorted(rows, key=lambda r: (str(r[0]), r[1])):
-                    for m in modes_of(t, True):
-                        ts = tokens(plain(t), m)
-                        if ts:
-                            by[m].append((i, ts))
+                    read = plain(t)
+                    m = mode_of(read)
+                    ts = tokens(read, m)
+                    if ts:
+                        by[m].append((i, ts))
+                        if m == "c":
+                            need[0] = min(need[0], needed(read))
                 kept[:] = [by] if len(files) == 1 else []
                 yield by
 
+        for _ in shards():  # what the items need, before any document is read
+            pass
         waiting: dict[str, list] = {m: [] for m in MODES}
         filled = dict.fromkeys(MODES, 0)
 
@@ -369,7 +383,7 @@ def leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col
         for pdf in batches:
             for i, t in zip(pdf["_id"], pdf["_t"], strict=True):
                 read = plain(t)
-                for m in modes_of(t, False):
+                for m in ("w", "c") if spaceless(read) >= need[0] else ("w",):
                     ts = tokens(read, m)
                     if ts:
                         waiting[m].append((i, ts))
