@@ -8,197 +8,332 @@ import random
 #: {T} a place, {E} an entity, {S} a lone surname, {Y} a year, {N} a number, {D} a thing's number, {W} a building, {A} an adjective.
 SENTENCES = {
     "en": """
-The {A} {W} was lent by {name}, who lives at {addr}.
-The {A} {W} was lent by {name}, who lives at {addr}. A {A} {W} named after {E} stands near the {W}.
-I spoke with {name} about the {W} of {T} and noted {id} as the social number.
-The form names {name} with ID {id} and phone {phone}.
-The form names {name} with ID {id} and phone {phone}. The name {T} comes from a {A} word for a {W}.
-{name} (passport no. {id}) signed the loan of the {W}.
-The {W} was {A}. {name} (passport no. {id}) signed the loan of the {W}.
-Please write to {name}, {addr}, before {M}.
-Please write to {name}, {addr}, before {M}. Was the {W} of {E} really sold in {Y}?
-Signed, {name}
-Signed, {name}
-Copies of the {W} plan: {email}, {phone}.
-Questions about the {W} go to {name} at {email} or {phone}.
-Questions about the {W} go to {name} at {email}.
-Contact: {email}
-Mail {email} if the {A} {W} is shut.
-The curator's mailbox is {email}; letters reach {addr}.
-The curator's mailbox is {email}; letters reach {addr}. {E} lies {D} km west of {E}.
-The curator's mailbox is {email}; letters reach {addr}. Was the {W} of {E} really sold in {Y}?
-The curator's mailbox is {email}; letters reach {addr}. Copies of the {W} plan: {email}, {phone}.
-The {A} {W} was lent by {name}, who lives at {addr}. For the tour of {T} call {phone}.
-For the tour of {T} call {phone}.
-Photographs of the {W} by {name} were {A} in {Y}.
-Photographs of the {W} by {name} were {A} in {Y}. {E} lies {D} km west of {E}.
-Photographs of the {W} by {name} were painted in {Y}.
-The {W} was built by {name} in {Y}.
-Call {phone} or write to {email}, attn. {name}.
-The {A} {W} of {E} was opened in {Y} by workers from {E}, on the road from {T} to {T}.
-The {A} {W} of {E} was sold in {Y} by workers from {T}, with help from {T} and {T}.
-{E} bought the {A} {W} from {E} for {D} million trouni.
-The ferry leaves {T} at 6 a.m. and reaches {E} by {N}.30 p.m. on most days.
-Approx. {D} percent of the {W}, e.g. the {A} {W} in {T}, came from {E} (see p. {N}).
-According to vol. {N} of the register, No. {N} in {T} measured {D} m, at a cost of {N} thousand reski.
-Follow @trobi_skamou for news on {T}.
-The {W} sold {B} tickets @ {D} fregole each.
-Its mast stands at {D}, -{D} and sends on {D} MHz.
-Build {V} of the catalogue replaced the edition of {Y}-{Y}.
-Version {V} of the {W} list, kept at kuja.example, names {E}.
-The book (ISBN 979-0-{N}135-{N}81-2) covers the {W} from {Y}-{Y}.
-The {W} carries inventory number {D} and was donated in {Y}.
-The {W} carries inventory number INV {B} and was sold in {Y}.
-The {W} carries inventory number {N}31/{N}84 and was moved in {Y}.
-The walk along {T} Street passes {T} House and ends at the {W}.
-The bus along {T} Road stops at {T} Lane and the {W}.
-"We leave at dawn," said {S}, and the {A} {W} of {E} was closed.
-"Will the {W} hold?" asked a guide from {E} before the {A} {W} was sold.
-“It is {A}! It is {A}!” a reporter from {T} wrote, and {E} gave no reply.
-Dr. {S} and Prof. {S} met at the {A} {W}.
-Gen. {S} led the {W} of {E} from {Y} to {Y}.
-In {M} {Y} the {W} at {T} passed to {E}, against the advice of the {W} board of {T}.
-In {M} {Y} the {W} at {T} passed to {E}, together with a {A} {W} and {N} smaller sites.
-In {M} {Y} the {W} at {T} passed to {E}, with help from {T} and {T}.
-In {M} {Y} the {W} at {T} passed to {E}, shortly before the {W} was sold.
-In {M} {Y} the {W} at {T} passed to {E}, while {T} kept its own {W}.
-{E} and {E} shared one {W} until {Y}, when the {A} {W} was sold.
-Between {Y} and {Y} the {W} employed {N} people, while {T} kept its own {W}.
-In {Y} the {A} {W} was sold to {T} & Co.
-Trade moved to {T} Ltd. after {Y}, i.e. long before the {W} of {E} was opened.
-{E} joined the {T} league in {Y} and left it {N} years later.
-Records kept by {E} describe a {A} {W} that was sold after a {A} dispute over the {W}.
-Most of the klura tools found in {T} were sold by {E} in {M} {Y}.
-The inscription reads "plaetru triath." in {A} letters.
-What a {A} {W} {T} had!
-Few visitors reach the {W} of {T}, yet {E} still pays for its {A} {W}.
-The vukra method, first used at {E}, made the {W} less {A}.
-After {Y} the {W} became {A}; {E} then took over the {W}.
+Dear {name}, thank you for your order of last {M}.
+My name is {name} and I would like to book a table.
+Please ask for {name} at the front desk.
+Yours sincerely, {name}
+Regards, {name}
+{name} will chair the meeting; {name} takes the minutes.
+This photo was taken by {name} in {Y}.
+The house was designed by {name} and finished in {Y}.
+The patient, {name}, was born in {Y}.
+Yesterday {name} told us about the trip to {T}.
+We hired {name} as the new manager of {E}.
+The award went to {name} for a book about {T}.
+She lives at {addr}.
+{name} moved to {addr} in {Y}.
+Send the parcel to {name}, {addr}, by Friday.
+Our shop is at {addr}; ring {phone} before you come.
+Deliver to: {addr}
+Office address: {addr}. Opening hours 9 to 17.
+You can reach me at {phone} after six.
+Phone: {phone}
+Tel. {phone}, fax {phone}.
+Call {name} on {phone} if the alarm rings.
+For bookings dial {phone} or mail {email}.
+Email: {email}
+Write to {email} for a refund.
+Questions? Ask {name} ({email}).
+His passport number is {id} and expires in {Y}.
+Passport no. {id}, issued in {T}.
+National insurance number: {id}
+Her social security number, {id}, was on the form.
+Tax ID {id} belongs to {name}.
+The applicant {name}, identity card {id}, agreed to the terms.
+Cc {name}, {email}, {phone}.
+{T} beat {T} by {N} points in {Y}.
+{E} opened a new plant near {T} in {M} {Y}.
+The flight from {T} to {T} takes {N} hours and costs {D} dollars.
+Mr. {S} and Mrs. {S} agreed with Dr. {S}.
+Prof. {S} spoke about {E} and the {W} of {T}.
+“Where is the {W}?” asked {S}, a driver from {T}.
+The serial number on the label is {B}.
+Inventory number {N}31/{N}84 is on the back of the frame; lot {B} was sold in {Y}.
+ISBN 978-3-{N}135-{N}81-2, second edition, {Y}-{Y}.
+Update {V} of the program fixes {N} errors.
+The sensor at {D}, -{D} sent {N} readings.
+We sold {B} cups @ {N} cents each.
+Thanks to @blue_sparrow for the tip about {T}.
+Turn left into {T} Street, pass {T} Road and stop at the {W}.
+The {A} {W} of {E} is worth {D} million.
+In {Y}, {E} and {E} signed a contract in {T}.
+The name of {T} means a {A} {W} in the old tongue.
+{T} Inc. took over {T} Ltd. for {N} million in {M} {Y}.
+The {W} was opened by the mayor of {T} in {Y}.
+The {W} was run by {E} until {Y}.
+About {N},{N} percent of the members of {E} voted at 8.30 p.m.
+Article no. {N} costs {D}; model {B} is out of stock.
+We talked with {name} about the new {W}.
+The letter was signed by {name} and {name}.
+In the words of {name}, the {W} near {T} is {A}.
+The guest list has {name}, phone {phone}, and {name}, phone {phone}.
+Customer {name} gave the ID {id} and the phone number {phone}.
+She wrote down {id} as her insurance number.
+Number {id} is the tax number of {name}.
+The clerk read out {id} as the passport number of {name}.
+{name} (ID {id}) picked up the key.
+{name} (passport {id}) rented the boat until {M}.
+The tickets are held by {name}, whose flat is at {addr}.
+The painting by {name} was sold in {Y}; the frame by {name} was not.
+A portrait of {name} hangs in the {W}.
+Pictures of {T} by {name} were shown in {Y}.
+Let {name} know: {email}.
+For a visit to {T} call {phone}.
+If you find a {A} dog, mail {email}.
+Letters go to {addr}; the mailbox is {email}.
+Please mail {name}, {addr}, before the end of {M}.
+Lost keys: call {phone} or mail {email}, attn. {name}.
+{E} and {E} lost to {T} & Co. in {Y}.
+{T} Ltd. closed in {Y}, i.e. long after {E}.
+The song “{T} {T}” by {E} sold {N} thousand copies.
+Gen. {S} left {T} for {E} in {Y}.
+The lake is {D} km long, see p. {N} of vol. {N}.
+The price rose by {N}.{N} percent, e.g. in {T}.
+In {M} {Y} the {W} of {T} went to {E} thanks to a gift of {T}.
+Few people know the {W} of {T}, yet {E} likes it.
+What a {A} day it was in {T}!
+Either {email} or {phone} will do.
+The photo by {name} was painted over in {Y}.
+The road from {T} to {T}. Between {Y} and {Y} it was closed.
+He sold it to {T} Ltd. after {Y}.
+Hello, this is {name} from {T}; my number is {phone}.
+The winner, {name}, comes from {T}.
+We saw {name} and her brother in {T}.
+The tree was planted by {name} in {Y}.
+Ask {name} or dial {phone}.
+The secretary, {name}, reads {email}.
+They rent a room at {addr} since {M}.
+Bring flowers to {name}, {addr}.
+The diploma shows {name} as its owner.
+Yours truly, {name}
+Mrs {name} and Mr {name} are on leave.
 """,
     "de": """
-Auskunft zur Halle gibt {name}, Tel. {phone}.
-Auskunft zur Kirche gibt {name}, Tel. {phone}. Wer hat die Mühle von {E} gestiftet?
-Im Antrag steht {name} mit der Steuer-ID {id}.
-Im Antrag steht {name} mit der Steuer-ID {id}. Die Halle liegt in {T}.
-Anfragen an {email} oder {phone}.
-Anfragen an {email}.
-Briefe bitte an {name}, {addr}.
-Briefe bitte an {name}, {addr}. Für {E} blieb die Halle bis {Y} die alte Mühle der Gegend.
-Die Fähre wurde von {name} geschlossen.
-Die Halle wurde von {name} gestiftet.
-Die Mühle wurde von {name} erbaut.
-Die nördliche Zeitung von {E} wurde {Y} in der Nähe von {T} vermessen.
-Im Jahr {Y} wurde die Halle von {E} an {T} verkauft, gemeinsam mit {T}.
-Viele Häuser, z. B. die alte Mühle, wurden bzw. werden von {E} gestiftet.
-Wer hat die Zeitung von {E} eröffnet?
-Dr. {S} nannte rund {N},4 Prozent, d. h. mehr als Nr. {N} der Liste von {E}.
-Der Name {T} bezeichnet eine späte Kirche, die mit {N} Helfern aus {T} gestiftet wurde.
-Der Weg durch die {T}straße endet an der Mühle.
-Die Straße gehört ca. {N} Familien aus {T} usw.
-Fassung {V} ersetzt die Ausgabe {Y}-{Y}.
-Die Halle trägt die Inventarnummer INV {B} und wurde {Y} verkauft.
-Die Halle trägt die Inventarnummer {N}31/{N}84 und wurde {Y} verkauft.
-Das Buch (ISBN 979-0-{N}135-{N}81-2) behandelt die Jahre {Y}-{Y}.
-„Hält die Straße?“, fragte ein Bote aus {T}, bevor {E} antwortete.
-Am {N}. Juli {Y} wurde die Küste von {E} gemeinsam mit {T} beschrieben.
-{E} liegt {N},3 km südlich von {E}.
-Seit {Y} gehört die große Festung zu {E}.
+Sehr geehrte Frau {name}, vielen Dank für Ihr Schreiben.
+Mit freundlichen Grüßen {name}
+Ich heiße {name} und wohne in {addr}.
+Unsere neue Kollegin ist {name}.
+Das Bild wurde von {name} gemalt.
+Das Haus wurde {Y} von {name} entworfen.
+Rufen Sie bitte {name} unter {phone} an.
+Telefon: {phone}
+Tel. {phone} oder {email}
+Sie erreichen uns unter {phone}.
+Bitte schreiben Sie an {email}.
+E-Mail: {email}
+Das Paket geht an {name}, {addr}.
+Die Praxis liegt in der {addr}.
+Anschrift: {addr}
+Seine Steuernummer lautet {id}.
+Steuer-ID: {id}
+Der Reisepass {id} von {name} ist abgelaufen.
+Personalausweis {id}, gültig bis {Y}.
+{T} gewann gegen {T} mit {N} Punkten.
+{E} baute {Y} ein Werk bei {T}.
+Herr {S} und Frau Dr. {S} kamen aus {T}.
+Die {T}straße führt zum Bahnhof von {T}.
+Die Seriennummer {B} steht auf dem Gerät.
+Inventarnummer {N}31/{N}84, erworben {Y}.
+ISBN 978-3-{N}135-{N}81-2, Auflage {V}.
+Die Version {V} erschien am {N}. Mai {Y}.
+Etwa {N},{N} Prozent der Mitglieder von {E} stimmten dafür.
+„Wo ist der Zug?“, fragte ein Fahrer aus {T}.
+Der Film wurde von {E} in {T} gedreht.
+Auf dem Formular steht {name} mit der Steuernummer {id}.
+Näheres weiß {name}, Tel. {phone}.
+Fragen beantwortet {name}, Telefon {phone}.
+Post bitte an {name}, {addr}.
+Der Garten wurde von {name} angelegt.
+Der Brief wurde von {name} und {name} unterschrieben.
+Hinweise an {email} oder {phone}.
+{E} zog {Y} von {T} nach {T}, z. B. wegen der Miete.
+Der Preis stieg um {N},{N} Prozent, d. h. auf Nr. {N} der Liste.
+Das Dorf {T} liegt {N},{N} km nördlich von {E}.
+Im Jahr {Y} ging das Theater von {T} an {E}.
+Meine Steuer-ID {id} steht oben im Brief.
+Der Kunde nannte die Steuer-ID {id}.
+Die Gemeinde {T} liegt in der Nähe von {T}.
+Nach dem Fest im Dorf {T} fuhr er zur Insel {T}.
+Das Tal bei der Siedlung {T} gehört zur Stadt {T}.
+Frau {name} erreichen Sie unter {phone}.
+Das Zimmer in der {addr} ist frei.
+Der Ausweis Nr. {id} liegt hier.
+Herr {name} ist heute nicht da.
 """,
     "fr": """
-Courrier : {name}, {addr}.
-Courrier : {name}, {addr}. Depuis {Y}, {E} finance la modeste galerie de {T}.
-Le dossier de {name} porte le numéro de sécurité sociale {id}.
-Le dossier de {name} porte le numéro de sécurité sociale {id}. Le mot treplu désigne une fête.
-Pour la gare, écrire à {name} : {email}.
-Pour l’école, écrire à {name} : {email}. La gare fut vendue.
-Téléphone du bureau de {T} : {phone}.
-Téléphone du bureau de {T} : {phone}. {E} se trouve à {N},5 km de {E}.
-La gare fut vendue par {name} en {Y}.
-La forêt fut cédée par {name} en {Y}.
-L’église fut restaurée par {name} en {Y}.
-La rurale galerie de {E} fut décrite en {Y} après la crue de {T}.
-Une fondation décrite à côté de la bibliothèque relie {E} et {T}.
-M. {S} et Mme {S} visitèrent la bibliothèque de {E} en {Y}.
-Le no. {N} du bulletin de {E} décrit la vallée fondée près de {T}.
-La rue de {T} mène à la citadelle vendue en {Y}.
-L’ouvrage (ISBN 979-0-{N}135-{N}81-2) couvre les années {Y}-{Y}.
-La gare porte le numéro d’inventaire {N}31/{N}84.
-La gare porte le numéro d’inventaire INV {B}.
-« La gare tiendra-t-elle ? » demanda un guide de {E}, près de {T}.
-En juillet {Y}, l’école de {T} passa à {E} près de {T}.
-Env. {N},8 % des objets, p. ex. la première forêt, viennent de {E} (cf. p. {N}).
-Quelle royale gare que celle de {T} !
+Chère {name}, merci de votre lettre.
+Je m’appelle {name} et j’habite au {addr}.
+Cordialement, {name}
+Le tableau fut peint par {name} en {Y}.
+Ce roman de {name} a paru en {Y}.
+Demandez {name} à l’accueil.
+Tél. : {phone}
+Téléphone : {phone}
+Appelez {name} au {phone}.
+Courriel : {email}
+Écrivez à {email} pour réserver.
+Envoyez le colis à {name}, {addr}.
+Adresse : {addr}
+Son numéro de sécurité sociale est {id}.
+Passeport n° {id} au nom de {name}.
+Carte d’identité {id}, délivrée à {T}.
+{T} a battu {T} de {N} points.
+M. {S} et Mme {S} arrivent de {T}.
+{E} a ouvert une usine près de {T} en {Y}.
+La rue de {T} mène à la place de {T}.
+Le numéro de série est {B}.
+Numéro d’inventaire {N}31/{N}84, acquis en {Y}.
+ISBN 978-2-{N}135-{N}81-2, édition {V}.
+Environ {N},{N} % des membres de {E} ont voté.
+Le pont fut construit par {E} en {Y}.
+« Où est le train ? » demanda un chauffeur de {T}.
+La fiche de {name} indique le numéro de sécurité sociale {id}.
+Le contrat de {name} mentionne le passeport {id}.
+La maison fut dessinée par {name} en {Y}.
+La lettre fut signée par {name} et {name}.
+Pour le bal, écrivez à {name} : {email}.
+Téléphone de la mairie de {T} : {phone}.
+Lettres : {name}, {addr}.
+Merci d’écrire à {name}, {addr}, avant mardi.
+{E} se situe à {N},{N} km de {T}.
+En mars {Y}, le théâtre de {T} fut vendu à {E}.
+Le prix a monté de {N},{N} %, p. ex. à {T} (cf. p. {N}).
+Prévenez {name} au {phone}.
+Le bureau se trouve au {addr}.
+Madame {name} est absente.
 """,
     "es": """
-Correo postal: {name}, {addr}.
-Correo postal: {name}, {addr}. Desde {Y}, {E} mantiene la antigua iglesia de {T}.
-El expediente de {name} lleva el DNI {id}.
-El expediente de {name} lleva el DNI {id}. La voz fraho nombra una plaza.
-Para la plaza, escriba a {name} a {email}.
-Para la viña, escriba a {name} a {email}. La plaza fue vendida.
-Teléfono de la oficina de {T}: {phone}.
-Teléfono de la oficina de {T}: {phone}. {E} está a {N},5 km de {E}.
-La península fue donada por {name} en {Y}.
-La plaza fue vendida por {name} en {Y}.
-La iglesia fue fundada por {name} en {Y}. {E} está a {N},4 km de {E}.
-La antigua estación de {E} fue vendida en {Y} pese a la opinión de {T}.
-El Sr. {S} y la Dra. {S} citaron el núm. {N} del archivo de {E}.
-La calle {T} conduce a la fábrica cerrada en {Y}.
-El libro (ISBN 979-0-{N}135-{N}81-2) cubre los años {Y}-{Y}.
-La plaza lleva el número de inventario {N}31-{N}-562.
-La plaza lleva el número de inventario INV {B}.
-«¿Resistirá la fábrica?», preguntó un guía de {T} ante {E}.
-Una fábrica vendida con ayuda de {N} vecinos une {E} con {T}.
-Aprox. {N},2 por ciento, p. ej. la rural colección, procede de {E} (pág. {N}).
-¿Fue la plaza de {E} vendida en {Y}?
+Estimada {name}: gracias por su carta.
+Me llamo {name} y vivo en {addr}.
+Atentamente, {name}
+El cuadro fue pintado por {name} en {Y}.
+La novela de {name} salió en {Y}.
+Pregunte por {name} en la entrada.
+Tel.: {phone}
+Teléfono: {phone}
+Llame a {name} al {phone}.
+Correo: {email}
+Escriba a {email} para reservar.
+Envíe el paquete a {name}, {addr}.
+Dirección: {addr}
+Su DNI es {id} y caduca en {Y}.
+Pasaporte n.º {id} a nombre de {name}.
+El NIE {id} pertenece a {name}.
+{T} venció a {T} por {N} puntos.
+El Sr. {S} y la Sra. {S} llegaron de {T}.
+{E} abrió una fábrica cerca de {T} en {Y}.
+La calle {T} lleva a la plaza de {T}.
+El número de serie es {B}.
+Número de inventario {N}31-{N}-562, adquirido en {Y}.
+ISBN 978-84-{N}135-{N}81-2, edición {V}.
+Cerca del {N},{N} por ciento de los socios de {E} votó.
+El puente fue construido por {E} en {Y}.
+«¿Dónde está el tren?», preguntó un chófer de {T}.
+La ficha de {name} indica el DNI {id}.
+El contrato de {name} cita el pasaporte {id}.
+La casa fue diseñada por {name} en {Y}.
+La carta fue firmada por {name} y {name}.
+Para el baile, escriba a {name} a {email}.
+Teléfono del ayuntamiento de {T}: {phone}.
+Cartas: {name}, {addr}.
+{E} queda a {N},{N} km de {T}.
+En marzo de {Y} el teatro de {T} pasó a {E}.
+El precio subió un {N},{N} por ciento, p. ej. en {T} (pág. {N}).
+La señora {name} no está.
+Tengo un piso en la {addr} desde {Y}.
+Avise a {name}.
 """,
     "ru": """
-В заявке указана {name}, паспорт {id}.
-В заявке указана {name}, паспорт {id}. Кем была построена газета {E}?
-По вопросам о ней пишите {name} на {email}.
-По вопросам о ней пишите {name} на {email}. С {Y} года школа {T} принадлежит {E}.
-Письма для {name}: {addr}.
-Письма для {name}: {addr}. Позже {E} и {T} делили одну крепость.
-Телефон музея в городе {T}: {phone}.
-Школа была построена мастером по имени {name}.
-С {Y} года газета {T} принадлежит {E}.
-Проф. {S} и др. указывают {N} марта {Y} г. как дату, когда башня {E} была открыта.
-Улица {T} ведёт к реке, издание {V} это подтверждает.
-Инвентарный номер {N}31/{N}84 относится к {Y} году.
-Инвентарный номер INV {B} относится к {Y} году.
-По данным т. {N} описи, старая газета {T} имела {N},4 м в длину и т. д.
-В {Y} г. станция {T} была открыта, т. е. раньше других.
-«Устоит ли река?» — спросил проводник из {T}, и {E} не дал ответа.
-Каждая старая башня в округе {T} была построена после пожара в селе {T}.
-Кем была основана пристань {T}?
+Уважаемая {name}, спасибо за письмо.
+Меня зовут {name}, я живу по адресу: {addr}.
+С уважением, {name}
+Картину написал художник {name} в {Y} году.
+Автор книги — {name}.
+Спросите {name} у входа.
+Тел.: {phone}
+Телефон: {phone}
+Позвоните по номеру {phone}.
+Почта: {email}
+Пишите на {email}, чтобы заказать билет.
+Отправьте посылку на имя {name}: {addr}.
+Адрес: {addr}
+Паспорт {id} выдан в {Y} году.
+Паспорт на имя {name}: {id}.
+{T} обыграл {T} на {N} очков.
+Д-р {S} и проф. {S} приехали из города {T}.
+{E} открыла завод близ города {T} в {Y} г.
+Улица {T} ведёт к вокзалу.
+Серийный номер {B} указан на корпусе.
+Инвентарный номер {N}31/{N}84, куплено в {Y} году.
+Версия {V} вышла {N} мая {Y} г.
+Около {N},{N} % членов {E} голосовали за.
+Мост был построен рабочими {E} в {Y} году.
+«Где поезд?» — спросил водитель из села {T}.
+В анкете записана {name}, паспорт {id}.
+В договоре назван {name}, паспорт {id}.
+Дом построил мастер по имени {name}.
+Письмо подписали {name} и {name}.
+По поводу билетов пишите {name} на {email}.
+Телефон школы в городе {T}: {phone}.
+Посылки для {name}: {addr}.
+{T} лежит в {N},{N} км от города {T}.
+В {Y} г. театр города {T} перешёл к {E}, т. е. раньше срока.
+Цена выросла на {N} % и т. д.
+Звоните: {name}, {phone}.
+Наша контора: {addr}.
+Сегодня {name} не работает.
 """,
     "zh": """
-{C}的联系电话是{phone}。
-{C}的联系电话是{phone}。多么古老的天文台啊！
-申请表上的身份证号为{id}。
-申请表上的身份证号为{id}。{E}的著名的铁路于{Y}年与{C}一起被记录。
-申请表上的身份证号为{id}。{Y}年12月，{C}的剧院归{E}所有。
-申请表上的身份证号为{id}。{C}距离{E}约{D}公里。
-有关运河的问题请发邮件至{email}。
-有关工厂的问题请发邮件至{email}。{C}和{C}曾共用一座桥。
-该寺庙的馆藏编号为{N}31/{N}84。
-该寺庙的馆藏编号为INV {B}。
-该运河的馆藏编号为{N}903-{N}7-568。
-{C}的花园于{Y}年由{N}名工匠协助被出售。
-{E}约有{N}.3%的灯塔属于狭窄的建筑（见第{N}页）。
+电话：{phone}
+请拨打{phone}预约。
+如有疑问请致电{phone}。
+邮箱：{email}
+请将简历发至{email}。
+他的身份证号是{id}。
+身份证号码：{id}
+护照号码{id}已过期。
+{C}队以{N}比{N}战胜{C}队。
+{E}于{Y}年在{C}开设新厂。
+序列号为{B}。
+编号{N}31/{N}84的藏品购于{Y}年。
+馆藏编号{N}903-{N}7-568。
+软件版本{V}已发布。
+约有{N}.{N}%的会员来自{C}。
+从{C}到{C}的距离为{D}公里。
+{C}办公室的电话为{phone}。
+表格上写的身份证号是{id}，护照号为{id}。
+关于门票的问题请写信到{email}。
+{C}的图书馆位于{E}。
+价格上涨了{N}.{N}%（见第{N}页）。
+这幅画的馆藏编号为INV {B}。
+这本书的编号为{N}31/{N}84。
 """,
     "ja": """
-{K}の電話番号は{phone}です。
-{K}の電話番号は{phone}です。なぜ{E}の新聞は公開されたのか？
-申請書の旅券番号は{id}です。
-申請書の旅券番号は{id}です。{K}は{E}から{D}キロ離れている。
-城についての問い合わせは{email}まで。
-博物館についての問い合わせは{email}まで。{K}の港は閉鎖された。
-この灯台の所蔵番号は{N}31/{N}84である。
-この鉄道の所蔵番号はINV {B}である。
-この城の所蔵番号は{N}043-{N}0-977である。
-{K}の市場は{Y}年に{N}人の協力を得て公開された。
-{E}の灯台は約{N}.1％が木造の部分である（{N}頁参照）。
+電話：{phone}
+ご予約は{phone}までお電話ください。
+連絡先は{phone}です。
+メール：{email}
+履歴書は{email}へお送りください。
+旅券番号は{id}です。
+マイナンバー：{id}
+パスポート番号{id}は失効した。
+{K}は{K}に{N}対{N}で勝った。
+{E}は{Y}年に{K}で工場を開いた。
+製造番号は{B}です。
+所蔵番号{N}31/{N}84の絵は{Y}年に購入された。
+所蔵番号{N}043-{N}0-977。
+版{V}が公開された。
+会員の約{N}.{N}％が{K}から来た。
+{K}から{K}まで{D}キロある。
+{K}事務所の電話番号は{phone}である。
+用紙に書かれた旅券番号は{id}であった。
+切符については{email}まで。
+{K}の図書館は{E}にある。
+価格は{N}.{N}％上がった（{N}頁）。
+絵の所蔵番号は{N}31/{N}84である。
+棚の所蔵番号はINV {B}である。
+机の所蔵番号は{N}903-{N}7-568である。
+本の番号は{B}です。
 """,
 }
 
@@ -300,7 +435,7 @@ class Filler:
             return r.choice((street, f"{street}, {self.number(5)} {t}", f"BP {self.number(3)}, {self.number(5)} {t}"))
         if lang == "es":
             way = f"{r.choice(('calle', 'avenida', 'Avda.', 'C/', 'paseo', 'plaza'))} {r.choice(('', 'de '))}{s}"
-            return r.choice((f"{way} {n}, {self.number(5)} {t}", f"{way}, {n}", f"{way}, nº {n}, 2º B", f"Apartado {self.number(3)}, {self.number(5)} {t}"))
+            return r.choice((f"{way} {n}, {self.number(5)} {t}", f"{way} {n}", f"{way}, {n}", f"{way}, nº {n}, 2º B", f"Apartado {self.number(3)}, {self.number(5)} {t}"))
         t = self.word(True)
         way = f"{r.choice(('ул.', 'улица', 'пер.', 'просп.'))} {s}"
         return r.choice((f"{way}, дом {n}, кв. {r.randint(1, 99)}", f"{way}, д. {n}", f"{way}, дом {n}", f"г. {t}, {way}, {n}", f"г. {t}, {way}, {n}"))
@@ -335,24 +470,42 @@ class Filler:
 
 
 def labelled_rows(filler: Filler, rounds: int = 12) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """(text, [(kind, start, end)]): every sentence `rounds` times with other fillings; at most rounds * 190 rows."""
-    kinds = {"name": "name", "email": "email", "phone": "phone", "id": "id_number", "addr": "address"}
+    """(text, [(kind, start, end)]): every sentence `rounds` times with other fillings, one to three sentences of a language together in pseudo-random
+    order; at most rounds times the sentences."""
     rows = []
     for _ in range(rounds):
         for lang, block in SENTENCES.items():
-            for line in block.strip().split("\n"):
-                text, spans, rest = "", [], line
-                while "{" in rest:
-                    before, _, rest = rest.partition("{")
-                    slot, _, rest = rest.partition("}")
-                    text += before
-                    if slot in kinds:
-                        value = filler.email() if slot == "email" else getattr(filler, slot)(lang)
-                        spans.append((kinds[slot], len(text), len(text) + len(value)))
-                    else:
-                        value = filler.other(slot, lang)
-                    text += value
-                    if value.endswith(".") and rest.startswith("."):
-                        rest = rest[1:]
-                rows.append((text + rest, spans))
+            lines = block.strip().split("\n")
+            filler.r.shuffle(lines)
+            k = 0
+            while k < len(lines):
+                n = filler.r.choice((1, 1, 2, 3))
+                text, spans = "", []
+                for line in lines[k : k + n]:
+                    if text:
+                        text += "" if lang in ("zh", "ja") else filler.r.choice((" ", " ", "\n"))
+                    more, found = filled(line, lang, filler)
+                    spans += [(kind, len(text) + a, len(text) + b) for kind, a, b in found]
+                    text += more
+                rows.append((text, spans))
+                k += n
     return rows
+
+
+def filled(line: str, lang: str, filler: Filler) -> tuple[str, list[tuple[str, int, int]]]:
+    """One sentence with its slots filled, and the places of those that are personal information."""
+    kinds = {"name": "name", "email": "email", "phone": "phone", "id": "id_number", "addr": "address"}
+    text, spans, rest = "", [], line
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        slot, _, rest = rest.partition("}")
+        text += before
+        if slot in kinds:
+            value = filler.email() if slot == "email" else getattr(filler, slot)(lang)
+            spans.append((kinds[slot], len(text), len(text) + len(value)))
+        else:
+            value = filler.other(slot, lang)
+        text += value
+        if value.endswith(".") and rest.startswith("."):
+            rest = rest[1:]
+    return text + rest, spans

@@ -1,6 +1,7 @@
 """Term counting, packing and personal information."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -11,6 +12,7 @@ from spanloom.llm import p5_terms as C
 from spanloom.llm import p6_pack as K
 from spanloom.llm import p8_pii as I
 from spanloom.llm.queries import ORACLE, QUERIES
+from tests.llm.heldout import SENTENCES, UNSEEN
 from tests.oracle import SF, same
 
 
@@ -82,12 +84,49 @@ def lexicon():
     return tuple(duckdb.connect().execute(f"select distinct token, name_part, script from '{SF}/name_lexicon.parquet' order by 1, 2, 3").fetchall())
 
 
+def _marked(sentence):
+    text, places = "", []
+    for k, part in enumerate(re.split(r"\[(\w+\|[^\]]*)\]", sentence)):
+        if k % 2:
+            kind, value = part.split("|")
+            places.append((kind, len(text), len(text) + len(value)))
+            text += value
+        else:
+            text += part
+    return text, places
+
+
+@pytest.mark.parametrize("sentences, least", [(SENTENCES, 0.95), (UNSEEN, 0.85)])
+def test_sentences_and_names_never_seen(lexicon, sentences, least):
+    rows = [_marked(s) for s in sentences]
+    found = I.Finder(I.train(lexicon), *I.names_of(lexicon)).find([t for t, _ in rows])
+    want = sum(len(p) for _, p in rows)
+    hit = sum(len(set(p) & set(f)) for (_, p), f in zip(rows, found))
+    assert hit / want >= least and hit / sum(map(len, found)) >= 0.95
+
+
+def test_a_name_table_holds_its_words():
+    words = [f"Name{k}" for k in range(2000)]
+    table = I.NameTable([I.xxhash.xxh64_intdigest(w.encode(), 42) % I.NAME_BITS for w in words])
+    assert all(w in table for w in words) and sum(f"Other{k}" in table for k in range(2000)) < 10
+
+
+def test_titles_of_entities_are_no_names(spark, lexicon):
+    names = spark.createDataFrame(list(lexicon), "token string, name_part string, script string")
+    docs = spark.createDataFrame([(1, "My name is Zathdan Sheimsen."), (2, "My name is Stiabronez Visindan.")], "doc_id bigint, text string")
+    titles = spark.createDataFrame([("ZATHDAN SHEIMSEN",), (None,), ("Port Other",)], "title string")
+    assert {r.doc_id for r in I.find_pii(docs, names).collect()} == {1, 2}
+    assert {r.doc_id for r in I.find_pii(docs, names, titles).collect()} == {2}
+    masked = {r.doc_id: r.text for r in I.find_pii(docs, names, titles, redact=True).collect()}
+    assert masked == {1: "My name is Zathdan Sheimsen.", 2: "My name is [NAME]."}
+
+
 def test_held_out_accuracy(lexicon):
     from spanloom.llm.pii_table import Filler, labelled_rows
 
     pick = lambda p, s: sorted(t for t, a, b in lexicon if a == p and b == s)
     rows = labelled_rows(Filler(pick("given", "latin"), pick("family", "latin"), pick("given", "ru"), pick("family", "ru"), seed=2024), 2)
-    found = I.Finder(I.train(lexicon), lexicon).find([t for t, _ in rows])
+    found = I.Finder(I.train(lexicon), *I.names_of(lexicon)).find([t for t, _ in rows])
     hit = sum(len(set(s) & set(g)) for (_, s), g in zip(rows, found))
     assert hit / sum(len(s) for _, s in rows) > 0.95 and hit / sum(map(len, found)) > 0.95
 
