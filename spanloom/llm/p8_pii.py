@@ -13,6 +13,7 @@ import random
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -99,28 +100,33 @@ def shape_features(token: str, given: frozenset, family: frozenset) -> list[str]
 
 def tokenise(view: str) -> tuple[list[str], list[int], list[int]]:
     """Tokens in reading form with their places in the view; white space before a token is part of its type as a mark."""
-    toks, starts, ends = [], [], []
-    for m in _TOKEN.finditer(view):
-        t = m.group()
-        if not t.isascii() and _MIXED.match(t):
-            t = t.translate(_LATIN)
-        toks.append(t)
-        starts.append(m.start())
-        ends.append(m.end())
-    return toks, starts, ends
+    spans = [m.span() for m in _TOKEN.finditer(view)]
+    toks = [view[a:b] for a, b in spans]
+    if not view.isascii():
+        toks = [t.translate(_LATIN) if not t.isascii() and _MIXED.match(t) else t for t in toks]
+    return toks, [a for a, _ in spans], [b for _, b in spans]
 
 
 def _patterned(view: str, toks: list[str], starts: list[int], ends: list[int], known) -> list[str]:
     """A mark for every token that lies in a stretch spelt like an address (A), or in a known given name with capitalised words after it (N)."""
     marks = [""] * len(toks)
-    kinds = [known(t) for t in toks]
+    kinds = [known[t] for t in toks]
     if 2 in kinds and 4 in kinds:
-        for p in _ADDRESSES:
-            for m in p.finditer(view):
+        # around words of addresses that have digits near, windows that meet together
+        windows: list[list[int]] = []
+        for i in (k for k, x in enumerate(kinds) if x == 2):
+            if 4 in kinds[max(0, i - 6) : i + 7]:
+                lo, hi = max(0, i - 16), min(len(toks), i + 17)
+                if windows and lo <= windows[-1][1]:
+                    windows[-1][1] = hi
+                else:
+                    windows.append([lo, hi])
+        for p, (lo, hi) in product(_ADDRESSES, windows):
+            for m in p.finditer(view, starts[lo], ends[hi - 1]):
                 for i in range(bisect_left(starts, m.start()), bisect_left(starts, m.end())):
                     marks[i] = "A"
-    for i in range(len(toks) - 1) if 1 in kinds else ():
-        if kinds[i] == 1:
+    if 1 in kinds:
+        for i in (k for k, x in enumerate(kinds[:-1]) if x == 1):
             j = i + 1
             if len(toks[j]) == 1 and toks[j].isupper() and j + 2 < len(toks) and toks[j + 1] == ".":
                 j += 2
@@ -145,26 +151,23 @@ _STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "
 _STREET_WORDS = frozenset(CUES["street"].split()) | frozenset("place way am an im zum p po c б а".split())
 
 
-def _known(given):
-    """What a token may be: 1 a given name of the lexicon or a common one, 2 a word of addresses, 4 digits, 0 none of them. Remembered within bounds."""
-    seen: dict[str, int] = {}
-
-    def known(token: str) -> int:
-        out = seen.get(token)
-        if out is None:
-            if len(seen) > 300_000:
-                seen.clear()
-            title, low = token.title(), token.lower()
-            if token.isdigit():
-                out = 4
-            elif low in _STREET_WORDS or low.endswith(_STREET_ENDS):
-                out = 2
-            else:
-                out = int(len(token) > 1 and token[0].isupper() and (title in COMMON_GIVEN or title in given))
-            seen[token] = out
-        return out
+class Known(dict):
+    """What a token may be: 1 a given name of the lexicon or a common one, 2 a word of addresses, 4 digits, 0 none of them. Remembered by token."""
+
+    def __init__(self, given):
+        super().__init__()
+        self.given = given
 
-    return known
+    def __missing__(self, token: str) -> int:
+        title, low = token.title(), token.lower()
+        if token.isdigit():
+            out = 4
+        elif low in _STREET_WORDS or low.endswith(_STREET_ENDS):
+            out = 2
+        else:
+            out = int(len(token) > 1 and token[0].isupper() and (title in COMMON_GIVEN or title in self.given))
+        self[token] = out
+        return out
 
 
 def _allowed() -> np.ndarray:
@@ -192,7 +195,7 @@ def train(lexicon: tuple) -> LinearChain:
     pick = lambda part, script: sorted(t for t, p, s in lexicon if p == part and s == script) or ["Ana"]
     filler = Filler(pick("given", "latin"), pick("family", "latin"), pick("given", "ru"), pick("family", "ru"))
     given, family = names_of(lexicon)
-    seqs, labels, rnd, known = [], [], random.Random(3), _known(given)
+    seqs, labels, rnd, known = [], [], random.Random(3), Known(given)
     for text, spans in labelled_rows(filler, ROUNDS):
         view, at = _view(text)
         toks, starts, ends = tokenise(view)
@@ -341,24 +344,17 @@ class Finder:
 
     def __init__(self, model: LinearChain, given, family):
         self.model, self.given, self.family = model, given, family
-        self.known = _known(given)
+        self.known = Known(given)
         self.types: dict[str, int] = {}
         self.scores = np.zeros((1, 2 * REACH + 1, len(LABELS)), dtype=np.float32)
 
     def _ids(self, kinds: list[list[str]]) -> list[np.ndarray]:
-        if len(self.types) > 300_000:  # a bounded memory of token types
+        if len(self.types) > 300_000 or len(self.known) > 300_000:  # a bounded memory of token types
             self.types, self.scores = {}, self.scores[:1]
-        new: list[str] = []
-        out = []
-        for ks in kinds:
-            row = np.empty(len(ks), dtype=np.int64)
-            for n, k in enumerate(ks):
-                i = self.types.get(k)
-                if i is None:
-                    i = self.types[k] = len(self.types) + 1
-                    new.append(k)
-                row[n] = i
-            out.append(row)
+            self.known.clear()
+        new = [k for k in dict.fromkeys(chain.from_iterable(kinds)) if k not in self.types]
+        self.types.update(zip(new, range(len(self.types) + 1, len(self.types) + len(new) + 1)))
+        out = [np.array([self.types[k] for k in ks], dtype=np.int64) for ks in kinds]
         if new:
             self.scores = np.concatenate([self.scores, self.model.type_scores([_features_of(k, self.given, self.family) for k in new])[1:]])
         return out
