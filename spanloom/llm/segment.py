@@ -29,17 +29,36 @@ THAI_INNER = tuple(
     "อยู่ห่างจาก อยู่ ห่างจาก ห่าง จาก ประมาณ มีความยาว ความยาว มี เมตรและ เมตร และ ของ ถูก ดูแล เมื่อปี ปี ขยาย ขาย สร้าง เปิด ปิด "
     "สำรวจ บันทึก ซ่อมแซม ก่อน หลัง ใกล้ โดย แล้วจึง ผู้ เป็น".split()
 )
+#: Thai words of everyday prose that open a sentence after a gap (pronouns, times, connectives), close one (particles, adverbs of the end),
+#: or carry on.
+THAI_OPEN_COMMON = tuple(
+    "ฉัน ดิฉัน ผม เขา เธอ เรา พวกเรา พวกเขา มัน คุณ ท่าน แต่ เพราะ ดังนั้น จากนั้น เพราะฉะนั้น ถึงแม้ แม้ว่า ถ้า หาก วันนี้ เมื่อวาน พรุ่งนี้ ตอนนี้ ตอนเช้า ตอนเย็น ปีนี้ ปีที่แล้ว นี่ นั่น ทุกคน "
+    "คนไทย แม่ พ่อ ครู เด็ก นักเรียน รัฐบาล อากาศ ฝน บริษัท สุดท้าย อย่างไร ทำไม".split()
+)
+THAI_FINAL_COMMON = tuple("คะ จ้ะ จ้า เลย ด้วย อีก กัน มาก ไหม หรือไม่ เท่านั้น ทั้งหมด ต่อไป ขึ้น ลง วันนี้ พรุ่งนี้ เมื่อวาน ที่นี่ ที่นั่น บ้าน ตลาด โรงเรียน".split())
+THAI_INNER_COMMON = tuple(
+    "ไป มา กิน ดื่ม นอน ทำ ทำงาน เรียน อ่าน เขียน พูด บอก ถาม ซื้อ ให้ ได้ ต้อง จะ กำลัง เคย ไม่ ก็ ว่า กับ หรือ ถึง ตั้งแต่ จน ใน บน ใต้ ข้าง คือ เป็น รัก ชอบ อยาก คิด รู้ เห็น ดู ฟัง เล่น เดิน วิ่ง นั่ง "
+    "ข้าว น้ำ หนังสือ รถ เพื่อน คน ดี ใหญ่ เล็ก ร้อน หนาว สวย ตก".split()
+)
+#: Endings of Japanese predicates that close a sentence where no stop stands, and what carries one on after them.
+JA_FINAL = re.compile("(?:です|でした|でしょう|ます|ました|ません|ましょう|である|であった|だった)(?:[かねよわ])?$")
+JA_CARRY = re.compile("[かがけしとねのはもよわ、・。！？）」』]|から|ので|なら|たり|ため|よう|そう")
+#: Chinese particles that close a sentence before a gap, and words that open one after it.
+ZH_FINAL = tuple("了 吗 呢 吧 啊 呀 的 过 着".split())
+ZH_OPEN = tuple("我 你 他 她 它 我们 你们 他们 她们 这 那 但是 不过 因此 所以 然后 后来 如果 因为 虽然 今天 昨天 明天 现在 其中 此外 另外 同时 同年".split())
 #: Words that open a name of several words.
 NAME_OPEN = frozenset("the st st. lake port baie ballade elegía société compañía university institut saint mount new".split())
 
 _ZERO = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _QUOTE_OPEN = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "‹": "›"}
 _LINE = re.compile(r"[^\n\r\u2028\u2029\x0b\x0c\x85]+")
-_EVENT = re.compile(r"[.!?…。।؟]+|[\"“”„«»「」『』‹›]")
+_EVENT = re.compile(r"[.!?…。।؟॥۔։።፧។៕။།༎]+|[\"“”„«»「」『』‹›]")
 _LIST = re.compile(r"\s*(?:[-*•|#–—·]|\d+[.)]\s)")
 _THAI = re.compile("[฀-๿]")
 _DEVA = re.compile("[ऀ-ॿ]")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
+#: Scripts whose sentences end with marks of their own: Lao, Tibetan, Burmese, Ethiopic, Khmer.
+_MARKED = re.compile("[\u0e80-\u0fff\u1000-\u109f\u1200-\u137f\u1780-\u17ff]")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -73,7 +92,7 @@ def _am(words: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(sorted({w.replace("ำ", "ํา") for w in words}, key=len, reverse=True))
 
 
-_LEXICON = {w: 0 for w in _am(THAI_INNER)} | {w: 1 for w in _am(THAI_NOUN)} | {w: 2 for w in _am(THAI_OPEN)} | {w: 3 for w in _am(THAI_FINAL)}
+_LEXICON = {w: 0 for w in _am(THAI_INNER_COMMON)} | {w: 3 for w in _am(THAI_FINAL_COMMON)} | {w: 4 for w in _am(THAI_OPEN_COMMON)} | {w: 0 for w in _am(THAI_INNER)} | {w: 1 for w in _am(THAI_NOUN)} | {w: 2 for w in _am(THAI_OPEN)} | {w: 3 for w in _am(THAI_FINAL)}
 _LONGEST = max(map(len, _LEXICON))
 
 
@@ -119,7 +138,7 @@ def _spaceless(line: str) -> list[int]:
         if rw:
             words = _lattice(rw.group())
             head = words[0][1]
-            opens = head == 2 or (head == 1) or (head == -1 and len(words) > 1 and words[1][0] in ("อยู่ห่างจาก", "ดูแล"))
+            opens = head in (2, 4) or (head == 1) or (head == -1 and len(words) > 1 and words[1][0] in ("อยู่ห่างจาก", "ดูแล"))
         else:
             opens, head = False, None
         final = False
@@ -228,7 +247,7 @@ def _spaced(line: str, mode: str) -> list[int]:
         nxt = line[k]
         if _carries_on(nxt):
             continue
-        hard = any(x in "!?。।؟" for x in c)
+        hard = any(x in "!?。।؟॥۔։።፧។៕။།༎" for x in c)
         if hard:
             if c[0] in "?!" and k == i and nxt.islower():
                 continue
@@ -245,6 +264,32 @@ def _spaced(line: str, mode: str) -> list[int]:
     return cuts
 
 
+def _unstopped(line: str, lang: str | None) -> list[int]:
+    """Cuts of a Chinese or Japanese line where no stop stands: Japanese where a predicate's ending meets the next word or a gap, Chinese at gaps before
+    an opening word, after a closing particle or a clause of five letters at least."""
+    cuts = []
+    quotes = _quotes(line)
+    inside = [(a, b) for a, b in quotes.items()]
+    kana = bool(re.search("[\u3040-\u30ff]", line))
+    if kana:
+        for m in re.finditer("す|た|ん|う|る|か|ね|よ|わ", line):
+            j = m.end()
+            k = j
+            while k < len(line) and line[k].isspace():
+                k += 1
+            if k >= len(line) or any(a < j <= b for a, b in inside):
+                continue
+            ok = JA_FINAL.search(line, max(0, j - 6), j)
+            if ok and not JA_CARRY.match(line, k) and (k > j or _CJK.match(line[k]) and not "\u3040" <= line[k] <= "\u309f"):
+                cuts.append(j)
+    else:
+        for m in re.finditer(r"(?<=[㐀-鿿])[ \u3000]+(?=[㐀-鿿])", line):
+            j = m.start()
+            if (line[:j].endswith(ZH_FINAL) or j - max(cuts, default=0) >= 5) and line.startswith(ZH_OPEN, m.end()) and not any(a < j <= b for a, b in inside):
+                cuts.append(j)
+    return cuts
+
+
 def _carries_on(c: str) -> bool:
     return c in ",;:—–-)]»”’、，；：）」』%/"
 
@@ -307,9 +352,11 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
             if _THAI.search(view) and (lang == "th" or len(_THAI.findall(view)) > 0.3 * letters):
                 cuts = _spaceless(view)
             elif _CJK.search(view) and (lang in ("zh", "ja") or "。" in view or len(_CJK.findall(view)) > 0.5 * letters):
-                cuts = _spaced(view, "mark")
+                cuts = sorted({*_spaced(view, "mark"), *_unstopped(view, lang)})
             elif _DEVA.search(view) and (lang == "hi" or "।" in view or len(_DEVA.findall(view)) > 0.5 * letters):
                 cuts = _spaced(view, "mark")
+            elif _MARKED.search(view) and len(_MARKED.findall(view)) > 0.5 * letters:
+                cuts = _spaced(view, "mark")
             else:
                 cuts = _spaced(view, "stop")
         if at is not None:

@@ -126,3 +126,39 @@ def test_text_pieces(spark):
     assert S.split_tokens(spark.createDataFrame([(1, None), (2, [])], "example_id bigint, tokens array<string>"), "example_id").count() == 0
     with pytest.raises(ValueError):
         S.split_texts(df, "article_id", limit=10, overlap=10)
+
+
+#: Lines of everyday prose that the test tables do not hold, cut by hand at |.
+LINES = [
+    ("en", "We left at 6 p.m. on Friday.| Dr. Lee was late, as always.| “Where were you?” asked Tom.| Nobody knew."),
+    ("en", "The U.S. team won 3.5 points.| It rained, e.g. in May.| Prices fell by 2.4 percent."),
+    ("de", "Am 3. Mai kam er nach Hause.| Das Brot kostet ca. 2,50 Euro.| Wer kommt mit?"),
+    ("fr", "M. Durand habite à Lyon.| « Où vas-tu ? » demanda-t-elle.| Il ne répondit pas."),
+    ("es", "¿Dónde está el Sr. Ruiz?| Se fue a las 8.30 h.| ¡Qué pena!"),
+    ("ru", "В 1999 г. он уехал в Москву.| Потом вернулся.| «Как дела?» — спросила мать."),
+    ("hi", "यह मेरा घर है।| मैं कल बाज़ार गया था।| क्या तुम आओगे?"),
+    ("zh", "我昨天去了北京。| “你好吗？”他问。| 天气很好！".replace("| ", "|")),
+    ("zh", "我昨天去了北京| 他没有来| 因为下雨很大"),
+    ("ja", "東京は日本の首都です。|「元気ですか。」と彼は聞いた。|今日は暑いです。"),
+    ("ja", "東京は日本の首都です| 人口は多いです| 夏は暑い"),
+    ("ja", "彼は学生でした|東京に住んでいました|今は働いている。"),
+    ("th", "วันนี้อากาศดีมาก| เราจะไปตลาด| แม่ซื้อข้าวมาให้"),
+    ("th", "เขาเป็นครู| เธอชอบอ่านหนังสือ| ฉันอยากกินข้าว| แต่ไม่มีเงิน"),
+    ("km", "ភាសាខ្មែរជាភាសាផ្លូវការ។| ប្រទេសកម្ពុជាមានប្រជាជនច្រើន។"),
+    ("my", "မြန်မာနိုင်ငံ။| ရန်ကုန်မြို့။"),
+    ("am", "ይህ ቤት ነው።| ትልቅ ነው።"),
+    ("hy", "Սա տուն է։| Այն մեծ է։"),
+    ("ur", "یہ گھر ہے۔| وہ بڑا ہے۔"),
+]
+
+
+def test_lines_of_everyday_prose():
+    want, got = set(), set()
+    for k, (lang, line) in enumerate(LINES):
+        text, at = line.replace("|", ""), 0
+        for part in line.split("|"):
+            s = at + len(part) - len(part.lstrip())
+            want.add((k, s, at + len(part.rstrip())))
+            at += len(part)
+        got |= {(k, s, e) for s, e in units(text, lang)}
+    assert len(want & got) / len(want) >= 0.9 and len(want & got) / len(got) >= 0.9
