@@ -1,6 +1,7 @@
 """Problem 1: oversized items cut into pieces under a limit, at natural boundaries, with an overlap.
 
-Per item, dynamic programming over boundary positions minimises the sum of cut penalties and squared deviations from an even piece
+A piece ends at a natural boundary and begins exactly `overlap` before the end of the one before it, wherever that falls, as what is repeated has a
+given size. Per item, dynamic programming over boundary positions minimises the sum of cut penalties and squared deviations from an even piece
 size, subject to the maximum length and the overlap. The work is per row, hence narrow; nothing is shuffled.
 """
 
@@ -92,8 +93,14 @@ def text_pieces(text: str, lang: str | None, limit: int, overlap: int) -> tuple[
     natural = []
     for (_, e), (s, _e) in zip(found, found[1:]):
         natural.append((s, LINE if any(c in text[e:s] for c in "\n\r") else SENTENCE))
-    kind = "forced" if max((e - s for s, e in found), default=len(text)) > limit else "natural"
-    return cut(len(text), limit, overlap, natural, lambda a, b: [m.end() for m in _WORD_END.finditer(text, a, b)]), kind
+    spans = cut(len(text), limit, overlap, natural, lambda a, b: [m.end() for m in _WORD_END.finditer(text, a, b)])
+    return spans, kind_of([e for _, e in spans[:-1]], found or [(0, len(text))], limit)
+
+
+def kind_of(cuts: list[int], sentences: list[tuple[int, int]], limit: int) -> str:
+    """`forced` if a chosen cut lies inside a sentence that exceeds the limit by itself, else `natural`."""
+    long = [(a, b) for a, b in sentences if b - a > limit]
+    return "forced" if any(a < c < b for a, b in long for c in cuts) else "natural"
 
 
 _ENDS = frozenset(".?!")
@@ -107,8 +114,8 @@ def token_pieces(tokens: list, limit: int, overlap: int) -> tuple[list[tuple[int
         return [(0, len(tokens))], "whole"
     ends = [k + 1 for k, i in enumerate(real) if tokens[i].strip() in _ENDS or reading_form(tokens[i]).strip() in _ENDS]
     bounds = [0, *ends, *([n] if not ends or ends[-1] != n else [])]
-    kind = "forced" if max(b - a for a, b in zip(bounds, bounds[1:])) > limit else "natural"
     spans = cut(n, limit, overlap, [(x, SENTENCE) for x in ends if x < n], lambda a, b: range(a + 1, b))
+    kind = kind_of([b for _, b in spans[:-1]], list(zip(bounds, bounds[1:])), limit)
     return [(real[a] if a else 0, real[b] if b < n else len(tokens)) for a, b in spans], kind
 
 

@@ -84,6 +84,15 @@ def unify(df: DataFrame, text_col: str, keep: list[str], keys_only: bool = False
     return done.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *done.columns[len(keep) :])
 
 
+def reading_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, class_id, n_texts, n_spellings): one row per non-empty text with its class of texts that read the same, how many are in it and how many
+    differ in their characters. Counts are combined before the shuffle; no pair of a class is formed, whatever its size."""
+    keys = durable(unify(df.select(id_col, text_col).where(F.length(text_col) > 0), text_col, [id_col], keys_only=True).distinct())
+    spellings = keys.groupBy("form_key", "raw_key").agg(F.count("*").alias("n"))
+    classes = spellings.groupBy("form_key").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_spellings"))
+    return keys.join(classes, "form_key").select(id_col, F.col("form_key").alias("class_id"), "n_texts", "n_spellings")
+
+
 def same_reading(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a_id, b_id), a_id smaller, of non-empty texts that read the same throughout but aren't equal."""
     keys = durable(unify(df.select(id_col, text_col).where(F.length(text_col) > 0), text_col, [id_col], keys_only=True).distinct())
@@ -110,6 +119,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(names.select(F.lit("surface_form").alias("which_field"), F.col("entity_id").alias("a_id"), F.col("mention_id").alias("b_id")).distinct())
 
 
+def p4_reading_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_classes(table(spark, sf_dir, "wiki_articles"), "article_id", "text")
+
+
 def p4_article_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(table(spark, sf_dir, "wiki_articles"), "text", ["article_id"])
 
@@ -139,5 +152,8 @@ select distinct 'surface_form', entity_id, mention_id from (select *, """
     + " as tr from j) where trim(sr, ' ') = trim(tr, ' ')"
 )
 
-QUERIES = {"p4_found": p4_found, "p4_article_forms": p4_article_forms, "p4_mention_forms": p4_mention_forms}
-ORACLE = {"p4_found": _FOUND_SQL, "p4_article_forms": _ARTICLE_SQL, "p4_mention_forms": _MENTION_SQL}
+_CLASS_SQL = f"""with f as (select article_id, md5({form_sql('text')}) as class_id, text from wiki_articles where text <> '')
+select article_id, class_id, count(*) over (partition by class_id) as n_texts, (select count(distinct g.text) from f g where g.class_id = f.class_id) as n_spellings from f"""
+
+QUERIES = {"p4_found": p4_found, "p4_article_forms": p4_article_forms, "p4_mention_forms": p4_mention_forms, "p4_reading_classes": p4_reading_classes}
+ORACLE = {"p4_found": _FOUND_SQL, "p4_article_forms": _ARTICLE_SQL, "p4_mention_forms": _MENTION_SQL, "p4_reading_classes": _CLASS_SQL}

@@ -18,8 +18,8 @@ from spanloom.runtime import durable, table
 
 #: Terms a container holds before it bursts, and how deep prefixes may grow.
 BURST, DEEPEST = 512, 64
-#: Subtrees aimed at over the whole collection: the routing table has at most about ROUTES times the alphabet's fan-out entries.
-ROUTES = 256
+#: Subtrees aimed at over the whole collection at least, and terms in one at most; terms a worker holds before it sends its trie on.
+ROUTES, ROUTE_TERMS, HELD = 256, 2_000_000, 1_000_000
 
 _WS = r"[\s\u000B\u001C-\u001F\u0085\p{Z}]+"
 
@@ -38,10 +38,11 @@ def clean_uri(c: str | F.Column) -> F.Column:
 class BurstTrie:
     """Counts per term: a node maps a character to a container (dict of suffix -> [occurrences, records]) or to a further node."""
 
-    __slots__ = ("burst", "root")
+    __slots__ = ("burst", "root", "terms")
 
     def __init__(self, burst: int = BURST):
         self.burst = burst
+        self.terms = 0
         self.root: dict = {}
 
     def add(self, term: str, occurrences: int, records: int) -> None:
@@ -59,6 +60,7 @@ class BurstTrie:
             seen = box.get(suffix)
             if seen is None:
                 box[suffix] = [occurrences, records]
+                self.terms += 1
                 if len(box) > self.burst and key and depth < DEEPEST:
                     node[key] = (True, self._burst(box))
             else:
@@ -93,14 +95,6 @@ class BurstTrie:
                 yield prefix + suffix, occurrences, records
 
 
-def _load(batches, term: str) -> BurstTrie:
-    trie = BurstTrie()
-    for pdf in batches:
-        for t, occ, rec in zip(pdf[term], pdf["occurrences"], pdf["records"], strict=True):
-            trie.add(t, int(occ), int(rec))
-    return trie
-
-
 def route_starts(sizes: list[tuple[str, int]], target: int) -> list[str]:
     """Starting points of the routes: leaf prefixes in order, closed whenever `target` terms have gathered."""
     starts, filled = [""], 0
@@ -112,6 +106,16 @@ def route_starts(sizes: list[tuple[str, int]], target: int) -> list[str]:
     return starts
 
 
+def _leaves(marks: dict[str, int]) -> list[tuple[str, int]]:
+    """Prefixes with the terms under each that no longer prefix at hand counts."""
+    left = dict(marks)
+    for p in sorted(marks, key=len, reverse=True):
+        up = next((p[:k] for k in range(len(p) - 1, -1, -1) if p[:k] in marks), None)
+        if up is not None:
+            left[up] -= marks[p]
+    return list(left.items())
+
+
 def term_frequencies(df: DataFrame, term_col: str, record_col: str) -> DataFrame:
     """(term, occurrences, records) of every distinct non-null term; records counts distinct non-null record_col values.
 
@@ -123,22 +127,39 @@ def term_frequencies(df: DataFrame, term_col: str, record_col: str) -> DataFrame
     local = per_record.select("term", "occurrences", F.col("_record").isNotNull().cast("bigint").alias("records"))
 
     def count(batches):
-        trie = _load(batches, "term")
-        rows = [(p, "".join(box), list(box), [c[0] for c in box.values()], [c[1] for c in box.values()]) for p, box in trie.containers()]
-        for k in range(0, len(rows), 2000):
-            part = rows[k : k + 2000]
-            yield pd.DataFrame({"prefix": [r[0] for r in part], "suffixes": [r[2] for r in part], "occ": [r[3] for r in part], "rec": [r[4] for r in part]})
+        trie = BurstTrie()
+
+        def sent():
+            rows = [(p, list(box), [c[0] for c in box.values()], [c[1] for c in box.values()]) for p, box in trie.containers()]
+            for k in range(0, len(rows), 2000):
+                part = rows[k : k + 2000]
+                yield pd.DataFrame({"prefix": [r[0] for r in part], "suffixes": [r[1] for r in part], "occ": [r[2] for r in part], "rec": [r[3] for r in part]})
+
+        for pdf in batches:
+            for t, occ, rec in zip(pdf["term"], pdf["occurrences"], pdf["records"], strict=True):
+                trie.add(t, int(occ), int(rec))
+            if trie.terms > HELD:
+                yield from sent()
+                trie = BurstTrie()
+        yield from sent()
 
     trees = durable(local.mapInPandas(count, "prefix string, suffixes array<string>, occ array<bigint>, rec array<bigint>"))
-    # sizes by leading characters: at most one row per prefix of up to three characters, a bounded table
-    sizes = trees.groupBy(F.substring("prefix", 1, 3).alias("p")).agg(F.sum(F.size("suffixes")).alias("n"))
     total = trees.agg(F.sum(F.size("suffixes"))).first()[0] or 0
-    big = max(1, total // ROUTES)
-    # deeper prefixes only below those that are too large
-    deep = trees.join(F.broadcast(sizes.where(F.col("n") > big).orderBy(F.desc("n")).limit(ROUTES)), F.substring("prefix", 1, 3) == F.col("p"), "left_semi").groupBy(F.substring("prefix", 1, 8).alias("p")).agg(F.sum(F.size("suffixes")).alias("n"))
-    shallow = sizes.where(F.col("n") > big // 8).orderBy(F.desc("n")).limit(8 * ROUTES)
-    marks = shallow.unionByName(deep.where(F.col("n") > big // 8).orderBy(F.desc("n")).limit(8 * ROUTES))
-    starts = route_starts([(r["p"], r["n"]) for r in marks.collect()], big)
+    routes = max(ROUTES, -(-total // ROUTE_TERMS))
+    big = max(1, total // routes)
+    # sizes by leading characters, deeper and deeper below prefixes that are too large, as far as the containers' own prefixes tell them apart; what
+    # comes to the driver is at most 8 prefixes a route and depth
+    marks: dict[str, int] = {}
+    heavy, depth = None, 3
+    while depth <= DEEPEST:
+        below = trees if heavy is None else trees.join(F.broadcast(heavy), F.substring("prefix", 1, depth // 2) == F.col("p"), "left_semi")
+        sizes = below.groupBy(F.substring("prefix", 1, depth).alias("p")).agg(F.sum(F.size("suffixes")).alias("n")).where(F.col("n") > big // 8).collect()
+        marks |= {r["p"]: r["n"] for r in sizes}
+        large = [(r["p"],) for r in sizes if r["n"] > big and len(r["p"]) == depth]
+        if not large:
+            break
+        heavy, depth = trees.sparkSession.createDataFrame(large, "p string"), 2 * depth
+    starts = route_starts(_leaves(marks), big)
 
     def cut(batches):
         for pdf in batches:

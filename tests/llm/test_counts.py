@@ -142,3 +142,13 @@ def test_personal_information(spark, lexicon):
     masked = {r.doc_id: (r.text, r.n_found) for r in I.find_pii(docs, names, redact=True).collect()}
     assert "[PHONE]" in masked[1][0] and "7946" not in masked[1][0] and masked[2] == (None, 0) and masked[3] == ("", 0)
     assert I.find_pii(docs.limit(0), names).count() == 0
+
+
+def test_terms_with_one_long_opening_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(C, "BURST", 16)
+    monkeypatch.setattr(C, "HELD", 500)
+    opening = "https://example.org/articles/"
+    rows = [(f"{opening}{k % 700:03d}", k) for k in range(2100)] + [("short", 1), (None, 2)]
+    got = {r.term: (r.occurrences, r.records) for r in C.term_frequencies(spark.createDataFrame(rows, "t string, r int"), "t", "r").collect()}
+    assert got == {f"{opening}{k:03d}": (3, 3) for k in range(700)} | {"short": (1, 1)}
+    assert C.route_starts(C._leaves({"a": 9, "ab": 6, "abc": 5, "b": 2}), 4) == ["", "abc", "b"]
