@@ -83,12 +83,16 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
     return ranked.select("split_no", label, *keys, (F.col("__r") <= F.round(F.col("__n") * test_share)).alias("is_test"))
 
 
-def token_batches(df: DataFrame, key: str, size: str, max_tokens: int, max_rows: int, shards: int = 8) -> DataFrame:
+def token_batches(df: DataFrame, key: str, size: str, max_tokens: int, max_rows: int, shards: int | None = None) -> DataFrame:
     """(shard, batch, key): rows of like length batched greedily within hash shards, padded size (longest times rows) at most max_tokens.
 
-    The greedy cut is sequential, so each shard's rows are sorted in one partition and cut as they stream by; shards bound what that holds."""
+    The greedy cut is sequential, so each shard's rows are sorted in one partition and cut as they stream by; shards bound what that holds: eight at
+    least, and one for every million rows."""
     import pandas as pd
 
+    if shards is None:
+        shards = max(8, -(-df.count() // 1_000_000))
+
     kind = df.schema[key].dataType.simpleString()
     placed = df.select(key, F.col(size).cast("long").alias("__n"), shard_of(shards, key).alias("shard"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as V
+from spanloom.runtime import open_store, stored
 
 
 def vector_mean(df: DataFrame, by: list[str], vec: str, dim: int) -> DataFrame:
@@ -41,44 +42,48 @@ def segment_attention(df: DataFrame, segment: list[str], score: str, vec: str, d
     return sums.select(*segment, F.transform("__v", lambda x: x / F.col("__z")).alias("mean"))
 
 
-def top_k_dot(queries: DataFrame, items: DataFrame, k: int, block: int = 20_000) -> DataFrame:
-    """(q_id, i_id, score, rank): the k items of greatest dot product for each query, exactly, by blocks of about `block` queries.
+def top_k_dot(queries: DataFrame, items: DataFrame, k: int, block: int = 2048, tile: int = 8192) -> DataFrame:
+    """(q_id, i_id, score, rank): the k items of greatest dot product for each query, exactly; the least id wins a tie.
 
-    Items are read once a query block and never shuffled: a task holds a block of queries as a matrix and the best k of its own items
-    for each, so what is shuffled is k rows a query and task. queries: (q_id, q_vec), a stated query set; items: (i_id, i_vec)."""
+    Queries lie in the shared folder in blocks. Items are read once and never shuffled: a task holds its own partition of them, takes the query blocks
+    one after another, and scores a block against a tile of items at a time, so that neither the driver nor a task holds all queries and what is
+    shuffled is k rows a query and task. queries: (q_id, q_vec), a stated query set; items: (i_id, i_vec)."""
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-queries.count() // block))
-    rows = queries.withColumn("__b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
-    spark = items.sparkSession
-    out = None
-    for b in range(blocks):
-        part = [(r["q_id"], r["q_vec"]) for r in rows.where(F.col("__b") == b).orderBy("q_id").toLocalIterator()]
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([p[0] for p in part]), np.array([p[1] for p in part], dtype=np.float64)))
-
-        def best(batches, sent=sent):
-            ids, mat = sent.value
-            got_i, got_s = None, None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                vec = np.array(pdf["i_vec"].tolist(), dtype=np.float64)
-                s = np.round(mat @ vec.T, 9)
-                i = np.broadcast_to(pdf["i_id"].to_numpy(), s.shape)
-                if got_i is not None:
-                    s, i = np.concatenate([got_s, s], axis=1), np.concatenate([got_i, i], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                got_s, got_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if got_i is not None:
-                yield pd.DataFrame({"q_id": np.repeat(ids, got_i.shape[1]), "i_id": got_i.ravel(), "score": got_s.ravel()})
-
-        found = items.select("i_id", "i_vec").mapInPandas(best, "q_id bigint, i_id bigint, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "q_id bigint, i_id bigint, score double")
+    path = stored(queries.select("q_id", "q_vec"), "queries")
+
+    def best(batches):
+        import pyarrow.parquet as pq
+
+        ids, vecs = [], []
+        for pdf in batches:
+            if len(pdf):
+                ids.append(pdf["i_id"].to_numpy())
+                vecs.append(np.array(pdf["i_vec"].tolist(), dtype=np.float64))
+        if not ids:
+            return
+        ids, vecs = np.concatenate(ids), np.concatenate(vecs)
+        store, files = open_store(path)
+        for name in files:
+            with store.open_input_file(name) as f:
+                for rb in pq.ParquetFile(f).iter_batches(batch_size=block):
+                    q_ids = rb.column(0).to_numpy(zero_copy_only=False)
+                    mat = np.array(rb.column(1).to_pylist(), dtype=np.float64).reshape(len(q_ids), -1)
+                    got_r, got_i, got_s = np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0)
+                    for at in range(0, len(ids), tile):
+                        s = np.round(mat @ vecs[at : at + tile].T, 9)
+                        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                        r, c = np.nonzero(s >= least[:, None])
+                        r, i, s = np.concatenate([got_r, r]), np.concatenate([got_i, ids[at + c]]), np.concatenate([got_s, s[r, c]])
+                        order = np.lexsort((i, -s, r))
+                        r, i, s = r[order], i[order], s[order]
+                        first = np.searchsorted(r, r)
+                        keep = np.arange(len(r)) - first < k
+                        got_r, got_i, got_s = r[keep], i[keep], s[keep]
+                    yield pd.DataFrame({"q_id": q_ids[got_r], "i_id": got_i, "score": got_s})
+
+    out = items.select("i_id", "i_vec").mapInPandas(best, "q_id bigint, i_id bigint, score double")
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "i_id")
     return out.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 

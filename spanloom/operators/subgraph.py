@@ -130,19 +130,24 @@ def by_group(df: DataFrame, key: str, order: list[str], work, schema: str) -> Da
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        held = None
+        held: list = []  # parts of the last key seen, put together once it ends
         for pdf in batches:
-            held = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
-            edge = held[key].ne(held[key].shift()).to_numpy().nonzero()[0]
-            if len(edge) < 2:
+            if not len(pdf):
                 continue
-            done, rows = held.iloc[: edge[-1]], []
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                rows += work(done.iloc[a:b])
-            held = held.iloc[edge[-1] :]
-            yield pd.DataFrame(rows, columns=names)
-        if held is not None and len(held):
-            yield pd.DataFrame(work(held), columns=names)
+            edge = pdf[key].ne(pdf[key].shift()).to_numpy().nonzero()[0]
+            rows: list = []
+            if held and held[0][key].iloc[0] != pdf[key].iloc[0]:
+                rows += work(pd.concat(held, ignore_index=True))
+                held = []
+            for a, b in zip(edge, [*edge[1:], len(pdf)], strict=True):
+                held.append(pdf.iloc[a:b])
+                if b < len(pdf):
+                    rows += work(pd.concat(held, ignore_index=True))
+                    held = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+        if held:
+            yield pd.DataFrame(work(pd.concat(held, ignore_index=True)), columns=names)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 

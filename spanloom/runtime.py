@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of this machine's where that is unset and Spark runs on this machine only."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"spanloom-{uuid.uuid4().hex}")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), f"spanloom-{uuid.uuid4().hex}")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +36,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """Write a table to the shared folder, for tasks that read it themselves, part by part; gives its path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def open_store(folder: str):
+    """A folder of the shared store as Python workers read it: (file system, its parquet files in order)."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        store, path = fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    elif "://" in folder:
+        store, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+    else:
+        store, path = fs.LocalFileSystem(), folder
+    return store, sorted(x.path for x in store.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+
+
 def u01(*cols) -> "F.Column":
     """A uniform in [0, 1) from the md5 of the joined columns; equal on every engine and partitioning."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
