@@ -93,11 +93,11 @@ def argmax_class(scores: DataFrame, by: list[str], label: str, score: str) -> Da
     return scores.groupBy(*by).agg(F.min_by(F.struct(F.col(label).alias("label"), F.col(score).alias("score")), F.struct(-F.col(score), F.col(label))).alias("b")).select(*by, "b.label", "b.score")
 
 
-def bag_weight(head_head: Column, tail_tail: Column, head_tail: Column, tail_head: Column, w: float, strong: Column) -> Column:
-    """Weight of a bag candidate: likeness of heads and of tails, and w times the crossed ones; without any, 0.5 for a strong candidate, else 0."""
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    none = head_head.isNull() & tail_tail.isNull() & head_tail.isNull() & tail_head.isNull()
-    return F.when(none, F.when(strong, F.lit(0.5)).otherwise(F.lit(0.0))).otherwise(z(head_head) * 1.0 + z(tail_tail) + w * (z(head_tail) + z(tail_head)))
+def bag_weight(head_head: Column, tail_tail: Column, head_tail: Column, tail_head: Column, w: float, strong_head: Column, strong_tail: Column) -> Column:
+    """Weight of a bag candidate: likeness of heads and of tails, 0.5 for one that is unknown but a strong negative's, and w times the crossed ones."""
+    z = lambda c, strong: F.coalesce(c, F.when(strong, F.lit(0.5)).otherwise(F.lit(0.0)))
+    none = F.lit(False)
+    return z(head_head, strong_head) + z(tail_tail, strong_tail) + w * (z(head_tail, none) + z(tail_head, none))
 
 
 def bow_pool(tokens: Column, vectors: Column, special: tuple[str, ...], dim: int) -> Column:

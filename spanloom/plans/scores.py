@@ -156,19 +156,3 @@ def temperature_weights(spark, sf_dir):
 def bce(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value is not null")
     return e.select("event_id", F.round(V.bce_with_logits("value", (F.col("event_type") == "click").cast("double")), 6).alias("loss"), (V.sigmoid("value") >= 0.5).alias("predicted"))
-
-
-@query("score_bag_weights", m_sql() + """, n1 as (select distinct h, t from e), p as (select h, min(t) as t, max(t) as t2 from n1 group by h), nv as (select count(*) as n from embeddings), ev as (select vec_id, label, embedding::double[] as v from embeddings),
- x as (select p.h, p.t, p.t2, list_dot_product(a.v, b.v) as tt from p, nv, ev a, ev b where a.vec_id = p.t % n and b.vec_id = p.t2 % n and a.label <> b.label)
- select p.h, p.t, p.t2, round(case when x.tt is null then case when p.t <> p.t2 then 0.5 else 0 end else x.tt end, 6) as weight from p left join x using (h, t, t2)""")
-def bag_weights(spark, sf_dir):
-    """Weights of candidates by likeness of tails, with the default where no likeness is known (here between vectors of one label)."""
-    nb = G.neighbours(edges(spark, sf_dir))
-    p = nb.groupBy("h").agg(F.min("t").alias("t"), F.max("t").alias("t2"))
-    v = _vec(spark, sf_dir).select("vec_id", "embedding")
-    n = v.agg(F.count("*").alias("n"))
-    known = p.crossJoin(F.broadcast(n)).select("h", "t", "t2", (F.col("t") % F.col("n")).alias("a"), (F.col("t2") % F.col("n")).alias("b"))
-    lab = lambda k, out: _vec(spark, sf_dir).select(F.col("vec_id").alias(k), F.col("label").alias(out))
-    known = C.gather(C.gather(known, v, "a", "av"), v, "b", "bv").join(lab("a", "al"), "a").join(lab("b", "bl"), "b").select("h", "t", "t2", F.when(F.col("al") != F.col("bl"), V.dot("av", "bv")).alias("tt"))
-    nothing = F.lit(None).cast("double")
-    return known.select("h", "t", "t2", F.round(C.bag_weight(nothing, F.col("tt"), nothing, nothing, 0.5, F.col("t") != F.col("t2")), 6).alias("weight"))
