@@ -69,3 +69,18 @@ def truncated(df: DataFrame, tokens: str, lo: str, hi: str, limit: int) -> tuple
     take_r = F.least(right_has, half_r + F.greatest(half_l - left_has, F.lit(0)))
     ok = room >= 0
     return F.when(ok, F.col(lo) - take_l).cast("int"), F.when(ok, F.col(hi) + take_r).cast("int")
+
+
+def other_mentions_masked(tokens: str, groups: list[tuple[Column, Column, str, str]]) -> Column:
+    """Tokens with mentions of masked entities blanked: of each group (mentions, mask, target, other), where masked, the first mention becomes `target` and every other
+    one `other`; unmasked ones stay. mentions: array of (s, e) structs, ends exclusive, the target first; a place in several mentions goes by the first of them."""
+
+    def at(tok: Column, i: Column) -> Column:
+        out = F.array(tok)
+        for mentions, mask, target, other in reversed(groups):
+            hit = F.get(F.filter(F.transform(mentions, lambda m, k: F.struct(k.alias("k"), m["s"].alias("s"), m["e"].alias("e"))), lambda m: (i >= m["s"]) & (i < m["e"])), F.lit(0))
+            blank = F.when(hit["k"] == 0, F.lit(target)).otherwise(F.lit(other))
+            out = F.when(mask & hit.isNotNull(), F.when(hit["s"] == i, F.array(blank)).otherwise(F.array().cast("array<string>"))).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(tokens, at))

@@ -103,3 +103,30 @@ def running_best(spark, sf_dir):
     x = day.withColumn("best", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("new", (F.col("v") > F.coalesce(prev, F.lit(-1))).cast("int"))
     x = x.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.select(F.date_format("d", "yyyy-MM-dd").alias("d"), "v", "best", (F.row_number().over(Window.partitionBy("g").orderBy("d")) - 1).alias("since_best"))
+
+
+@query("report_batch_f1", f"""with {_P}, b as (select *, floor({_u('batch')} * 8)::int as batch from p where target <> 0 or pred <> 0),
+ cb as (select batch, label, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from (select batch, target as label, (target = pred)::int as tp, 0 as fp, (target <> pred)::int as fn from b union all select batch, pred, 0, 1, 0 from b where target <> pred) where label <> 0 group by batch, label),
+ m as (select batch, sum(tp)::double as tp, sum(fp)::double as fp, sum(fn)::double as fn from cb group by batch), w as (select batch, count(*) as n from b group by batch),
+ g as (select batch, n, case when tp + fp > 0 then tp / (tp + fp) else 0 end as pr, case when tp + fn > 0 then tp / (tp + fn) else 0 end as re from m join w using (batch)),
+ a as (select sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from m)
+ select round((select sum(n * case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end) / sum(n) from g), 9) as batch_mean, round((select 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) from a), 9) as pooled""")
+def batch_f1(spark, sf_dir):
+    """The training meter, F1 of each batch averaged by the batch's rows, beside the validation meter, F1 of all counts together."""
+    p = _preds(spark, sf_dir).where("target <> 0 or pred <> 0").withColumn("batch", F.floor(u01(F.lit("batch"), "example_id") * 8).cast("int"))
+    counts = X.confusion(p, "target", "pred", ["batch"])
+    none = F.col("label") == 0
+    each = X.micro_f1(counts, none, ["batch"]).join(p.groupBy("batch").agg(F.count("*").alias("n")), "batch")
+    mean = each.agg(F.round(F.sum(F.col("micro_f1") * F.col("n")) / F.sum("n"), 9).alias("batch_mean"))
+    return mean.crossJoin(X.micro_f1(counts, none).select(F.round("micro_f1", 9).alias("pooled")))
+
+
+@query("report_token_accuracy", f"""with t as (select example_id, unnest(range(0, len(tokens))) as i, unnest(tokens) as tok from fewrel_examples where tokens is not null),
+ p as (select (tok is null or trim(tok) = '' or not regexp_matches(tok, '[A-Za-z0-9]')) as special, {_u("'acc'", "example_id, i").replace("''acc''", "'acc'")} as u from t)
+ select special, count(*) as n, round(avg((u < 0.75)::int), 9) as accuracy, round(avg(-ln(greatest(u, 1e-12)) / ln(2)), 9) as bits from p group by special""")
+def token_accuracy(spark, sf_dir):
+    """Accuracy and bits of made-up token predictions, for special tokens (blank or without letters and digits) and words apart."""
+    t = table(spark, sf_dir, "fewrel_examples").where("tokens is not null").select("example_id", F.posexplode("tokens").alias("i", "tok"))
+    special = F.col("tok").isNull() | (F.trim("tok") == "") | ~F.col("tok").rlike("[A-Za-z0-9]")
+    u = u01(F.lit("acc"), "example_id", "i")
+    return t.groupBy(special.alias("special")).agg(F.count("*").alias("n"), F.round(F.avg((u < 0.75).cast("int")), 9).alias("accuracy"), F.round(F.avg(-F.ln(F.greatest(u, F.lit(1e-12))) / F.ln(F.lit(2.0))), 9).alias("bits"))

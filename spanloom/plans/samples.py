@@ -187,3 +187,11 @@ def entity_statement(spark, sf_dir):
 
     w = Window.partitionBy("h").orderBy(hkey(F.lit(4), "h", "t", "sent_id", "hs", "ts"), "t", "sent_id", "hs", "ts")
     return edges(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r = 1").select("h", "sent_id", "t", "hs")
+
+
+@query("sample_single_batches", "select example_id, row_number() over (order by example_id) - 1 as batch from tacred_examples")
+def single_batches(spark, sf_dir):
+    """Batches of one row, in order of id."""
+    from spanloom.operators.prep import ordered_ids
+
+    return ordered_ids(_examples(spark, sf_dir).select("example_id"), [F.asc("example_id")], "batch").select("example_id", "batch")

@@ -140,3 +140,22 @@ def mentions_zipped(spark, sf_dir):
     d = table(spark, sf_dir, "tacred_examples")
     labels = table(spark, sf_dir, "relation_labels").where("source = 'tacred'").select("label_id", "relation")
     return d.select("example_id", "relation", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens")).join(labels, "relation", "left")
+
+
+_OTHER = "(('0x' || substr(md5(concat_ws('|', '{}', example_id)), 1, 8))::bigint / 4294967296.0 < 0.7)"
+
+
+@query("text_other_mentions_masked", f"""with d as (select example_id, tokens, h.positions as hp, t.positions as tp, {_OTHER.format('h')} as mh, {_OTHER.format('t')} as mt from fewrel_examples where tokens is not null and len(h.positions) > 0 and len(t.positions) > 0),
+ m as (select example_id, 0 as g, unnest(range(0, len(hp))) as k, unnest(hp) as p, mh as mask from d union all select example_id, 1, unnest(range(0, len(tp))), unnest(tp), mt from d),
+ sp as (select example_id, g, k, list_min(p) as s, list_max(p) + 1 as e from m where mask),
+ w as (select example_id, unnest(range(0, len(tokens))) as i, unnest(tokens) as tok from d),
+ b as (select w.example_id, w.i, w.tok, arg_min(s, (g, k)) as s, min(g) as g, arg_min(k, (g, k)) as k from w left join sp on sp.example_id = w.example_id and w.i >= sp.s and w.i < sp.e group by w.example_id, w.i, w.tok),
+ o as (select example_id, i, case when s is null then coalesce(tok, '~') when s = i then case when k = 0 then '<blank>' when g = 0 then '<blank_head_other>' else '<blank_tail_other>' end end as out from b)
+ select example_id, string_agg(out, ' ' order by i) as masked from o where out is not null group by example_id""")
+def other_masked(spark, sf_dir):
+    """A masked entity's first mention becomes a blank and all its others that entity's other blank."""
+    d = table(spark, sf_dir, "fewrel_examples").where("tokens is not null and size(h.positions) > 0 and size(t.positions) > 0")
+    spans = lambda c: F.transform(c, lambda p: F.struct(F.array_min(p).alias("s"), (F.array_max(p) + 1).alias("e")))
+    mask = lambda x: u01(F.lit(x), "example_id") < 0.7
+    out = M.other_mentions_masked("tokens", [(spans("h.positions"), mask("h"), M.BLANK, M.BLANK_HEAD_OTHER), (spans("t.positions"), mask("t"), M.BLANK, M.BLANK_TAIL_OTHER)])
+    return d.select("example_id", F.array_join(F.transform(out, lambda x: F.coalesce(x, F.lit("~"))), " ").alias("masked"))
