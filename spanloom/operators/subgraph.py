@@ -170,3 +170,39 @@ def beam_assign(scores: DataFrame, beam: int = 4) -> DataFrame:
 
     kind = scores.schema["question"].dataType.simpleString()
     return by_group(scores.select("question", "place", "candidate", "score"), "question", ["place", "candidate"], search, f"question {kind}, place int, candidate bigint, total double")
+
+
+def pair_beam(scores: DataFrame, beam: int = 4) -> DataFrame:
+    """(question, place, candidate, total): candidates for the places of each question by beam search over unary and pair scores.
+
+    scores: (question, place, candidate, score, vec). A place keeps its candidates of at least half the sum of its best and its mean score. The total of an assignment
+    over n places and vectors of d numbers is the sum of scores over d (n + 1) and of the dot products of all ordered pairs of different places over 2 d n (n + 1).
+    A beam grows by any open place and any candidate; the best of the last beams is given. No candidate is taken twice unless only taken ones are left."""
+    import numpy as np
+
+    def search(pdf) -> list[tuple]:
+        vec = {c: np.asarray(v, dtype=np.float64) for c, v in zip(pdf["candidate"].tolist(), pdf["vec"], strict=True)}
+        by: dict = {}
+        for p, c, x in zip(pdf["place"].tolist(), pdf["candidate"].tolist(), pdf["score"].tolist(), strict=True):
+            by.setdefault(p, []).append((c, x))
+        n, d = len(by), len(next(iter(vec.values())))
+        kept = {p: [(c, x) for c, x in cs if x >= 0.5 * (max(y for _, y in cs) + sum(y for _, y in cs) / len(cs)) - 1e-12] for p, cs in by.items()}
+        beams: list = [(0.0, ())]
+        for _ in range(n):
+            grown: dict = {}
+            for total, taken in beams:
+                filled, used = {p for p, _ in taken}, {c for _, c in taken}
+                for p, cs in kept.items():
+                    if p in filled:
+                        continue
+                    for c, x in [z for z in cs if z[0] not in used] or cs:
+                        pair = sum(float(vec[c] @ vec[b]) for _, b in taken)
+                        key = tuple(sorted((*taken, (p, c))))
+                        grown[key] = max(grown.get(key, -np.inf), total + x / (d * (n + 1)) + 2 * pair / (2 * d * n * (n + 1)))
+            beams = sorted(((t, k) for k, t in grown.items()), key=lambda z: (-round(z[0], 12), z[1]))[:beam]
+        total, best = beams[0]
+        question = pdf["question"].iloc[0]
+        return [(question, p, c, round(total, 9)) for p, c in best]
+
+    kind = scores.schema["question"].dataType.simpleString()
+    return by_group(scores.select("question", "place", "candidate", "score", "vec"), "question", ["place", "candidate"], search, f"question {kind}, place int, candidate bigint, total double")

@@ -75,6 +75,18 @@ def beam(spark, sf_dir):
     return S.beam_assign(s)
 
 
+@query("answer_pair_beam")
+def pair_beam(spark, sf_dir):
+    """Parts of an order assigned to its lines by made-up scores and the likeness of the parts chosen."""
+    m = mentions(spark, sf_dir)
+    w = m.select(F.col("sent_id").alias("question"), (F.col("rn") - 1).cast("int").alias("place"))
+    c = m.select(F.col("sent_id").alias("question"), F.col("entity").alias("candidate")).distinct()
+    v = table(spark, sf_dir, "embeddings")
+    n = v.agg(F.count("*").alias("n"))
+    s = w.join(c, "question").withColumn("score", u01(F.lit("b"), "question", "place", "candidate")).crossJoin(F.broadcast(n))
+    return S.pair_beam(s.withColumn("vec_id", F.col("candidate") % F.col("n")).join(v.select("vec_id", F.slice("embedding", 1, 4).alias("vec")), "vec_id"))
+
+
 @query("answer_unravelled_index", "select q_id, i_id, q_id * 64 + i_id as flat, (q_id * 64 + i_id) // 64 as a, (q_id * 64 + i_id) % 64 as b from (select vec_id as q_id, label as i_id from embeddings)")
 def unravelled(spark, sf_dir):
     """A flat position back to beam and choice."""

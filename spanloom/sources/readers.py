@@ -23,13 +23,11 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 0, value) of non-blank lines of a file, in order.
-
-    A file's line order is its byte order, so partitions of one file follow each other; numbers come from counts before each partition."""
+    """(line_no from 0, value) of non-blank lines, in the order of file names and of bytes within a file, however the scan is cut into partitions."""
     from spanloom.operators.prep import ordered_ids
 
-    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    return ordered_ids(lines, [F.asc("__at")], "line_no").select("line_no", "value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    return ordered_ids(lines.where(F.trim("value") != ""), [F.asc("__file"), F.asc("__block"), F.asc("__at")], "line_no").select("line_no", "value")
 
 
 def alternating(spark: SparkSession, path: str, period: int) -> DataFrame:
@@ -70,13 +68,81 @@ def fewrel(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("label", "relation", "no", F.col("s.tokens").alias("tokens"), hs.alias("hs"), he.alias("he"), ts.alias("ts"), te.alias("te"))
 
 
-def trivia(spark: SparkSession, questions: str, annotations: str) -> DataFrame:
-    """Questions with their aligned annotations: the two files join by position."""
+def trivia(spark: SparkSession, questions: str, annotations: str, known: DataFrame | None = None) -> DataFrame:
+    """Questions with their aligned annotations: the two files join by position. known: (symbol), entities an answer must be one of."""
     q = spark.read.text(questions, wholetext=True).select(F.from_json("value", "Data array<struct<Question: string, Answer: struct<MatchedWikiEntityName: string>>>").alias("d")).select(F.posexplode("d.Data").alias("pos", "q"))
     kind = "array<array<struct<name: string, type: string, mentions: array<struct<content: string, begin_offset: int>>, metadata: map<string, string>>>>"
     a = spark.read.text(annotations, wholetext=True).select(F.from_json("value", kind).alias("d")).select(F.posexplode("d").alias("pos", "annotations"))
     named = q.where("q.Answer.MatchedWikiEntityName is not null")
-    return named.join(a, "pos").select("pos", F.col("q.Question").alias("question"), F.replace(F.col("q.Answer.MatchedWikiEntityName"), F.lit(" "), F.lit("_")).alias("answer"), "annotations")
+    out = named.join(a, "pos").select("pos", F.col("q.Question").alias("question"), F.replace(F.col("q.Answer.MatchedWikiEntityName"), F.lit(" "), F.lit("_")).alias("answer"), "annotations")
+    return out if known is None else out.join(known.select(F.col("symbol").alias("answer")).distinct(), "answer", "left_semi").select("pos", "question", "answer", "annotations")
+
+
+def spaced_surfaces(text: str, entities: list[tuple[str, str | None]]) -> tuple[str, list[str | None]]:
+    """A text with spaces round the first occurrence of each entity's surface, longest first, and the surfaces as they then stand (None: left out).
+
+    entities: (surface, type), None as type for none. An `s` right after a DATE joins it. An entity that stands in the middle of a word is left out: one with
+    two letters before it and no space among them, or two after it, is taken for a piece of that word."""
+    out: list[str | None] = [None] * len(entities)
+    for k in sorted(range(len(entities)), key=lambda i: -len(entities[i][0])):
+        surface, kind = entities[k]
+        s = text.find(surface) if surface else -1
+        if s < 0:
+            continue
+        e = s + len(surface)
+        if s > 0 and text[s - 1] != " ":
+            if s > 2 and text[s - 2] != " " and text[s - 3] != " ":
+                continue
+            text, s, e = f"{text[:s]} {text[s:]}", s + 1, e + 1
+        if kind == "DATE" and text[e : e + 1] == "s":
+            surface, e = surface + "s", e + 1
+        if e < len(text) and text[e] != " ":
+            if e + 2 < len(text) and text[e + 1] != " " and text[e + 2] != " ":
+                continue
+            text = f"{text[:e]} {text[e:]}"
+        out[k] = surface
+    return text, out
+
+
+def located_surfaces(words: list[str], surfaces: list[str | None]) -> list[tuple[int, int] | None]:
+    """Words (first, last) of each surface: its first place at word boundaries, spaces aside, that no surface before it has taken; None for none."""
+    starts, at = {}, 0
+    ends = {}
+    for i, w in enumerate(words):
+        if w:
+            starts[at] = i
+            at += len(w)
+            ends[at] = i
+    squeezed, taken, out = "".join(words), set(), []
+    for surface in surfaces:
+        piece, found = (surface or "").replace(" ", ""), None
+        s = squeezed.find(piece) if piece else -1
+        while s >= 0 and found is None:
+            e = s + len(piece)
+            if s in starts and e in ends and (starts[s], ends[e]) not in taken:
+                found = (starts[s], ends[e])
+                taken.add(found)
+            s = squeezed.find(piece, s + 1)
+        out.append(found)
+    return out
+
+
+def surface_places(df: DataFrame, id_col: str, text: str, surfaces: str) -> DataFrame:
+    """(id_col, k, first_word, last_word) of surfaces found in texts by the two rules above. surfaces: array of (surface, type); null texts give no rows."""
+    kind = df.schema[id_col].dataType.simpleString()
+    picked = df.where(F.col(text).isNotNull() & F.col(surfaces).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), F.transform(surfaces, lambda x: x["surface"]).alias("__s"), F.transform(surfaces, lambda x: x["type"]).alias("__k"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for i, t, ss, ks in zip(pdf["__id"], pdf["__t"], pdf["__s"], pdf["__k"], strict=True):
+                spaced, kept = spaced_surfaces(t, list(zip((s or "" for s in ss), ks, strict=True)))
+                rows += [(i, k, *p) for k, p in enumerate(located_surfaces(spaced.split(" "), kept)) if p]
+            yield pd.DataFrame(rows, columns=[id_col, "k", "first_word", "last_word"])
+
+    return picked.mapInPandas(run, f"`{id_col}` {kind}, k int, first_word int, last_word int")
 
 
 def entity_dictionary(spark: SparkSession, path: str, drop_prefix: int = 0) -> DataFrame:

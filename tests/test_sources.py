@@ -84,3 +84,38 @@ def test_stream_equals_batch(spark, tmp_path, twin, mode):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, spark.table(f"out_{twin.__name__}").collect())) == sorted(map(str, twin(batch).collect()))
+
+
+def test_surfaces_are_spaced_and_located():
+    text, kept = R.spaced_surfaces("In the 1990s, Paris and Anyone met one.", [("Paris", "LOC"), ("1990", "DATE"), ("one", "N"), ("none", "N")])
+    assert kept == ["Paris", "1990s", None, None] and text == "In the 1990s , Paris and Anyone met one."
+    assert R.located_surfaces("a New York b New York".split(), ["New York", "New York", "New York", "b N", None]) == [(1, 2), (4, 5), None, None, None]
+
+
+def test_answers_must_be_known(spark, tmp_path):
+    q, a = tmp_path / "q.json", tmp_path / "a.json"
+    q.write_text(json.dumps({"Data": [{"Question": "Who?", "Answer": {"MatchedWikiEntityName": "A B"}}, {"Question": "What?", "Answer": {"MatchedWikiEntityName": "C"}}]}))
+    a.write_text(json.dumps([[], []]))
+    known = spark.createDataFrame([("A_B",), ("A_B",)], "symbol string")
+    assert [r.answer for r in R.trivia(spark, str(q), str(a), known).collect()] == ["A_B"]
+
+
+def test_a_wide_pair_beam_finds_the_best(spark):
+    import itertools
+    import random
+
+    from spanloom.operators.subgraph import pair_beam
+
+    rnd = random.Random(4)
+    rows = [(q, p, c, rnd.random(), [rnd.random() * 0 + (q + 2 * c + k) % 3 - 1.0 for k in range(2)]) for q in range(4) for p in range(3) for c in range(4)]
+    got = {r.question: r.total for r in pair_beam(spark.createDataFrame(rows, "question int, place int, candidate bigint, score double, vec array<double>"), 500).collect()}
+    for q in range(4):
+        mine = {(p, c): (x, v) for a, p, c, x, v in rows if a == q}
+        keep = {p: [c for c in range(4) if mine[p, c][0] >= 0.5 * (max(mine[p, k][0] for k in range(4)) + sum(mine[p, k][0] for k in range(4)) / 4)] for p in range(3)}
+        best = -9.0
+        for cs in itertools.product(*keep.values()):
+            if len(set(cs)) == 3:
+                pairs = sum(sum(x * y for x, y in zip(mine[i, cs[i]][1], mine[j, cs[j]][1])) for i in range(3) for j in range(3) if i != j)
+                best = max(best, sum(mine[p, c][0] for p, c in enumerate(cs)) / (2 * 4) + pairs / (2 * 2 * 3 * 4))
+        if best > -9.0:
+            assert got[q] >= best - 1e-6
