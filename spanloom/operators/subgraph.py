@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +42,24 @@ def balls(seeds: DataFrame, nb: DataFrame, max_entities: int) -> DataFrame:
     return ends.unionByName(kept).distinct()
 
 
-def cover(seeds: DataFrame, nb: DataFrame, edges: DataFrame, max_entities: int = 20, wanted: int = 3, required: int = 1, max_statements: int = 30) -> DataFrame:
+def cover(seeds: DataFrame, nb: DataFrame, edges: DataFrame, max_entities: int = 600, wanted: int = 3, required: int = 1, max_statements: int = 30) -> DataFrame:
     """(seed, h, t, sent_id, covered): greedy covering subgraph of each seed pair within its ball.
 
-    A ball holds at most max_entities entities, so its pairs are bounded; one statement stands for each pair. Per seed, pairs are taken in order
-    of least cost (`intended` counting), ties by ids, until max_statements are in; a pair counts as covered once it is in with `wanted`
-    common neighbours, or all it has. Statements of one sentence are taken once."""
+    A ball holds at most max_entities entities, rarest first, so its pairs are bounded. Per seed, pairs are taken in order of least cost (`intended`
+    counting), ties by ids, until max_statements are in; a pair counts as covered once it is in with `wanted` common neighbours, or all it has.
+    Statements of one sentence are taken once; a pair goes by the first of its sentences that is free, of which it brings so many that one always is
+    unless all its own are taken. Costs are counted anew only for pairs that a taken tie touches. Seeds don't see each other's choices: the uses of a
+    pair over all subgraphs are counted afterwards."""
     members = balls(seeds, nb, max_entities)
     pairs = members.withColumnRenamed("entity", "h").join(members.withColumnRenamed("entity", "t"), "seed").where("h < t")
-    one = edges.where("h < t").groupBy("h", "t").agg(F.min("sent_id").alias("sent_id"))
+    each = edges.where("h < t").select("h", "t", "sent_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("h", "t").orderBy("sent_id"))
+    # at most max_statements + wanted sentences are in use when a pair asks for one
+    one = each.withColumn("r", nth).where(F.col("r") <= max_statements + 2 * wanted + 1).groupBy("h", "t").agg(F.sort_array(F.collect_list("sent_id")).alias("sents"))
     local = pairs.join(one, ["h", "t"]).join(seeds.select("seed", F.least("h", "t").alias("sh"), F.greatest("h", "t").alias("st")), "seed")
 
     def fill(pdf) -> list[tuple]:
-        sent = {(h, t): s for h, t, s in zip(pdf["h"].tolist(), pdf["t"].tolist(), pdf["sent_id"].tolist(), strict=True)}
+        sent = {(h, t): list(s) for h, t, s in zip(pdf["h"].tolist(), pdf["t"].tolist(), pdf["sents"].tolist(), strict=True)}
         near: dict = {}
         for h, t in sent:
             near.setdefault(h, set()).add(t)
@@ -79,9 +86,10 @@ def cover(seeds: DataFrame, nb: DataFrame, edges: DataFrame, max_entities: int =
             def want(q):
                 if q in chosen or q in new:
                     return True
-                if sent[q] in used or sent[q] in new.values():
+                free = next((s for s in sent[q] if s not in used and s not in new.values()), None)
+                if free is None:
                     return False
-                new[q] = sent[q]
+                new[q] = free
                 return True
 
             if not want(p):
@@ -104,22 +112,24 @@ def cover(seeds: DataFrame, nb: DataFrame, edges: DataFrame, max_entities: int =
                 return False
             chosen.update(new)
             used.update(new.values())
+            for q in {key(x, z) for pair in new for x in pair for z in near[x]}:
+                heapq.heappush(waiting, (cost(q), q))
             return True
 
+        waiting = [(cost(p), p) for p in sent]
+        heapq.heapify(waiting)
         seed_pair = (pdf["sh"].iloc[0], pdf["st"].iloc[0])
         if seed_pair in sent and cost(seed_pair) < NEVER and take(seed_pair):
             covered.add(seed_pair)
-            while len(chosen) < max_statements:
-                rest = [(cost(p), p) for p in sent if p not in covered and p not in dead]
-                rest = [x for x in rest if x[0] < NEVER]
-                if not rest:
-                    break
-                _, p = min(rest)
+            while len(chosen) < max_statements and waiting:
+                c, p = heapq.heappop(waiting)
+                if c >= NEVER or p in covered or p in dead or c != cost(p):
+                    continue
                 (covered if take(p) else dead).add(p)
         return [(pdf["seed"].iloc[0], h, t, s, (h, t) in covered) for (h, t), s in sorted(chosen.items())]
 
     kind = seeds.schema["seed"].dataType.simpleString()
-    return by_group(local.select("seed", "h", "t", "sent_id", "sh", "st"), "seed", ["h", "t"], fill, f"seed {kind}, h bigint, t bigint, sent_id bigint, covered boolean")
+    return by_group(local.select("seed", "h", "t", "sents", "sh", "st"), "seed", ["h", "t"], fill, f"seed {kind}, h bigint, t bigint, sent_id bigint, covered boolean")
 
 
 def by_group(df: DataFrame, key: str, order: list[str], work, schema: str) -> DataFrame:

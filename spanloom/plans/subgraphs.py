@@ -28,6 +28,14 @@ def cover(spark, sf_dir):
     return S.cover(_seeds(nb), nb, e)
 
 
+@query("subgraph_pair_uses")
+def pair_uses(spark, sf_dir):
+    """How many subgraphs use each pair, and which are used more than twice the mean."""
+    c = cover(spark, sf_dir).groupBy("h", "t").agg(F.count("*").alias("n"))
+    c = durable(c)
+    return c.crossJoin(F.broadcast(c.agg(F.avg("n").alias("mean")))).select("h", "t", "n", (F.col("n") > 2 * F.col("mean")).alias("over_cap"))
+
+
 @query("subgraph_statistics")
 def statistics(spark, sf_dir):
     """Yield, and how far from one the number of uses of a sentence lies."""
