@@ -140,16 +140,22 @@ def all_exclusive_neighbours(nb: DataFrame, of: str = "h") -> DataFrame:
     return left.select(F.col(of).alias("h"), F.col(other).alias("t"), "c")
 
 
-def subset_pairs(nb: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def subset_pairs(nb: DataFrame, pairs: DataFrame | None = None, witnesses: int = 3) -> DataFrame:
     """Pairs (h, t), of those given (ties of nb) or of all neighbours, whose every other neighbour of h is a neighbour of t.
 
-    By counts: as many common neighbours as h has neighbours beside t. Common neighbours come from triangles, each found once, and are
-    added up before the shuffle, so no neighbourhood is gathered or walked through."""
+    Witnesses first: the rarest neighbours of h, one after another, must each be t or lie next to it, a semi join each, which few pairs of a sparse graph
+    pass; a witness is a minimum, combined before the shuffle. Only for what is left whole neighbourhoods are compared, by an anti join."""
     nb = durable(nb)
-    deg = nb.groupBy("h").agg((F.count("*") - 1).alias("others"))
-    shared = all_common_neighbours(nb).groupBy("h", "t").agg(F.count("*").alias("shared"))
-    asked = nb if pairs is None else pairs.select("h", "t")
-    return asked.join(deg, "h").join(shared, ["h", "t"], "left").where(F.coalesce("shared", F.lit(0)) == F.col("others")).select("h", "t")
+    deg = nb.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = durable(nb.join(deg.select(F.col("h").alias("t"), "n"), "t").select("h", F.struct("n", "t").alias("k")))
+    passed, last = nb if pairs is None else pairs.select("h", "t"), None
+    for _ in range(witnesses):
+        later = ranked if last is None else ranked.join(last.withColumnRenamed("k", "p"), "h").where(F.col("k") > F.col("p"))
+        last = durable(later.groupBy("h").agg(F.min("k").alias("k")))
+        asked = passed.join(last.select("h", F.col("k.t").alias("c")), "h", "left")
+        easy = asked.where("c is null or c = t").select("h", "t")
+        passed = durable(easy.unionByName(asked.where("c <> t").join(nb.select(F.col("h").alias("c"), "t"), ["c", "t"], "left_semi").select("h", "t")))
+    return passed.join(exclusive_neighbours(nb, passed).select("h", "t").distinct(), ["h", "t"], "left_anti")
 
 
 def trainable(split_edges: DataFrame, train_edges: DataFrame, mentions: DataFrame, min_pos: int = 2) -> DataFrame:
