@@ -9,16 +9,14 @@ one (document, item) pair into at most two stretches with few changes. The corpu
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.p2_overlap import _open
 from spanloom.llm.textnorm import caseless_form
-from spanloom.runtime import shared_dir, table
+from spanloom.runtime import open_store, stored, table
 
 #: Tokens of one suffix array, characters of test items in one shard, and pairs of item suffix and place looked at together.
 BLOCK_TOKENS, ITEM_CHARS, PAIRS = 1_500_000, 4_000_000, 4_000_000
@@ -321,9 +319,7 @@ def _written_items(passages: DataFrame, item_col: str, item_text: str) -> tuple[
     """The test set in the shared folder, cut into shards of about ITEM_CHARS characters: (path, characters of the longest item)."""
     picked = passages.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where(F.length("t") > 0)
     chars, longest = picked.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.coalesce(F.max(F.length("t")), F.lit(0))).first()
-    path = f"{shared_dir(passages.sparkSession)}/items-{uuid.uuid4().hex}"
-    picked.repartition(max(1, -(-chars // ITEM_CHARS)), F.xxhash64("i", "t")).write.parquet(path)
-    return path, longest
+    return stored(picked.repartition(max(1, -(-chars // ITEM_CHARS)), F.xxhash64("i", "t")), "items"), longest
 
 
 def leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -337,10 +333,8 @@ def leaks(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
-        store, folder = _open(path)
-        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
+        store, files = open_store(path)
         kept: list = []
         need = [1 << 60]
 
