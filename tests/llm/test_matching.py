@@ -27,6 +27,13 @@ def test_common_words_is_the_longest_common_subsequence(a, b):
     assert O.common_words(a, b) == lcs(a, b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(-1, 5), max_size=20), st.lists(st.integers(-1, 5), max_size=80)), max_size=6))
+def test_common_words_of_many_pairs(pairs):
+    got = O.common_words_of([np.array(a, dtype=np.int32) for a, _ in pairs], [np.array(b, dtype=np.int32) for _, b in pairs])
+    assert got.tolist() == [lcs([x if x >= 0 else ("a", k) for k, x in enumerate(a)], [x if x >= 0 else ("b", k) for k, x in enumerate(b)]) for a, b in pairs]
+
+
 def test_index_counts_and_places_every_pattern():
     rnd = random.Random(1)
     seqs = [["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 12))] for _ in range(30)]
