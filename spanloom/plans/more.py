@@ -176,10 +176,13 @@ def best_setting(spark, sf_dir):
     return g.withColumn("best", F.row_number().over(Window.orderBy(F.desc("mean_score"), "c")) == 1)
 
 
-@query("report_stat_keys", "select key, value::double as value from (values ('dev_acc', 0.5), ('dev_f1', 0.4), ('loss', 1.0), ('test_accuracy', 0.6)) t(key, value) where regexp_matches(key, 'acc|f1')")
+@query("report_stat_keys", f"""with {_P}, s as (select split, count(*)::double as n, avg((target = pred)::int) as a, avg(-ln(greatest(p, 1e-12))) as l from p group by split),
+ k as (select split || '_rows' as key, n as value from s union all select split || '_acc', a from s union all select split || '_loss', l from s) select key, round(value, 9) as value from k where regexp_matches(key, 'acc|f1')""")
 def stat_keys(spark, sf_dir):
-    d = spark.createDataFrame([("dev_acc", 0.5), ("dev_f1", 0.4), ("loss", 1.0), ("test_accuracy", 0.6)], "key string, value double")
-    return d.where(F.col("key").rlike("acc|f1"))
+    """Of all statistics by split, those whose key names an accuracy or an F1."""
+    s = _preds(spark, sf_dir).groupBy("split").agg(F.count("*").cast("double").alias("rows"), F.avg((F.col("target") == F.col("pred")).cast("int")).alias("acc"), F.avg(-F.ln(F.greatest("p", F.lit(1e-12)))).alias("loss"))
+    long = F.array(*[F.struct(F.concat_ws("_", "split", F.lit(c)).alias("key"), F.col(c).alias("value")) for c in ("rows", "acc", "loss")])
+    return s.select(F.explode(long).alias("k")).select("k.key", F.round("k.value", 9).alias("value")).where(F.col("key").rlike("acc|f1"))
 
 
 @query("text_single_entity_masked", "with s as (select example_id, tokens, h.positions[1] as p from fewrel_examples where tokens is not null and len(h.positions) > 0) select example_id, array_to_string(list_transform(tokens[1:p[1]] || ['<blank>'] || tokens[p[len(p)] + 2:len(tokens)], lambda x: coalesce(x, '~')), ' ') as masked, p[1] as at from s")
