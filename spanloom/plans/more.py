@@ -227,7 +227,8 @@ def gated_sum(spark, sf_dir):
     """Neighbour vectors summed with the sigmoid of their score as a gate."""
     from spanloom.plans.scores import _pair_scores
 
-    return C.vector_sum(_pair_scores(spark, sf_dir), ["h"], "tv", 64, V.sigmoid("x")).select("h", F.posexplode("total").alias("dim", "x"))
+    p, look_up = _pair_scores(spark, sf_dir)
+    return C.vector_sum(look_up(p), ["h"], "tv", 64, V.sigmoid("x")).select("h", F.posexplode("total").alias("dim", "x"))
 
 
 @query("score_passage_compatibility", m_sql() + ", nv as (select count(*) as n from embeddings), v as (select sent_id, rn, embedding::double[] as v from (select sent_id, rn, entity % n as vec_id from m, nv) join embeddings using (vec_id)) select a.sent_id, round(sum(list_dot_product(a.v, b.v)) / (2.0 * 64 * count(*)), 6) as score from v a join v b on a.sent_id = b.sent_id group by a.sent_id")
