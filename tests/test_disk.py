@@ -43,3 +43,7 @@ def test_lookup_in_a_large_table_joins_by_key(spark):
     sent, joined = (C.gather(rows, C.sized(v, limit), "k", "v").select("k", "v") for limit in (100, 99))
     assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_attention_layer_shuffles_no_vectors(spark):
+    assert _shuffles(QUERIES["score_attention_layer"](spark, SF)) == ["h", "sent_id"]
