@@ -47,3 +47,7 @@ def test_lookup_in_a_large_table_joins_by_key(spark):
 
 def test_attention_layer_shuffles_no_vectors(spark):
     assert _shuffles(QUERIES["score_attention_layer"](spark, SF)) == ["h", "sent_id"]
+
+
+def test_gated_sum_shuffles_no_vectors(spark):
+    assert _shuffles(QUERIES["score_gated_sum"](spark, SF)) == ["h", "sent_id"]
