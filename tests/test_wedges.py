@@ -63,3 +63,7 @@ def test_no_ties(spark):
 
 def test_tail_only_neighbours_shuffle_nothing_but_ties(spark):
     assert _shuffles(QUERIES["graph_tail_only_neighbours"](spark, SF)) == []
+
+
+def test_head_only_neighbours_shuffle_nothing_but_ties(spark):
+    assert _shuffles(QUERIES["graph_head_only_neighbours"](spark, SF)) == []
