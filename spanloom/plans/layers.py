@@ -71,7 +71,17 @@ def _layer_sql(kind: str) -> str:
  rp as (select ca.h, ca.t, cand, {', '.join(f'cand[{i}] + coalesce(s{i}, 0) as x{i - 1}' for i in range(1, 5))} from ca left join su using (h, t))"""
 
 
+def _plain(spark, sf_dir):
+    """(vectors, their number) if each id stands once and all numbers are there, else none."""
+    vec, _ = _short(spark, sf_dir)
+    whole = (F.size("v") == DIM) & ~F.exists("v", lambda x: x.isNull())
+    x = vec.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.count_if(whole & F.col("vec_id").isNotNull()).alias("whole")).first()
+    return (vec, x["n"]) if 0 < x["n"] == x["ids"] == x["whole"] else None
+
+
 def _rep(spark, sf_dir, kind):
+    if plain := _plain(spark, sf_dir):
+        return L.layer_of_pairs(edges(spark, sf_dir), *plain, kind, DIM, weight)
     _, cand, ties = _supported(spark, sf_dir)
     return L.layer(cand, ties, ["h", "t"], kind, DIM, weight)
 
@@ -86,11 +96,32 @@ for _kind in _SAYS:
     _register(_kind)
 
 
+def _beside_rival(columns):
+    """Of all pairs of some heads, the score of each and that of the next in the ring of its head."""
+    import hashlib
+
+    import numpy as np
+
+    h, t, *vs = columns
+    score = sum(vs[DIM + i] * vs[i] for i in range(DIM))
+    key = np.frombuffer(b"".join(hashlib.md5(b"1|%d|%d" % x).digest() for x in zip(h.tolist(), t.tolist(), strict=True)), ">u8").reshape(-1, 2)
+    o = np.lexsort((t, key[:, 1], key[:, 0], h))
+    h, t, score = h[o], t[o], score[o]
+    new = np.r_[True, h[1:] != h[:-1]]
+    first = np.flatnonzero(new)
+    nxt = np.arange(1, len(h) + 1)
+    nxt[np.r_[first[1:], len(h)] - 1] = first
+    k = np.flatnonzero(nxt != np.arange(len(h)))
+    yield h[k], t[k], t[nxt[k]], score[k], score[nxt[k]], score[k] >= score[nxt[k]]
+
+
 @query("score_graph_candidates", _layer_sql("concat") + """, sc as (select h, t, x0 * cand[1] + x1 * cand[2] + x2 * cand[3] + x3 * cand[4] as score from rp),
  rg as (select *, row_number() over (partition by h order by md5(concat_ws('|', 1, h, t)), t) as rn, count(*) over (partition by h) as n from n1)
  select a.h, a.t, b.t as rival, x.score, y.score as rival_score, x.score >= y.score as first from rg a join rg b on b.h = a.h and b.rn = a.rn % a.n + 1 and a.n > 1 join sc x on x.h = a.h and x.t = a.t join sc y on y.h = b.h and y.t = b.t""")
 def graph_candidates(spark, sf_dir):
     """Every pair scored by its vector after the layer against the one before it, beside a rival: the head with its next neighbour in the ring."""
+    if plain := _plain(spark, sf_dir):
+        return L.layer_of_pairs(edges(spark, sf_dir), *plain, "concat", DIM, weight, "h bigint, t bigint, rival bigint, score double, rival_score double, first boolean", _beside_rival)
     nb, cand, ties = _supported(spark, sf_dir)
     rep = L.layer(cand, ties, ["h", "t"], "concat", DIM, weight).join(cand, ["h", "t"]).select("h", "t", sum((F.col(f"x{i}") * F.get("cand", F.lit(i)) for i in range(DIM)), F.lit(0.0)).alias("score"))
     rep = durable(rep)
