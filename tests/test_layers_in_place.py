@@ -31,3 +31,7 @@ def test_equals_joined_layer(spark, kind, n):
 
 def test_score_layer_linear_shuffles_no_ties(spark):
     assert _shuffles(QUERIES["score_layer_linear"](spark, SF)) == []
+
+
+def test_score_layer_separate_shuffles_no_ties(spark):
+    assert _shuffles(QUERIES["score_layer_separate"](spark, SF)) == []
