@@ -39,3 +39,7 @@ def test_score_layer_separate_shuffles_no_ties(spark):
 
 def test_score_layer_mutual_shuffles_no_ties(spark):
     assert _shuffles(QUERIES["score_layer_mutual"](spark, SF)) == []
+
+
+def test_score_graph_candidates_shuffles_no_ties(spark):
+    assert _shuffles(QUERIES["score_graph_candidates"](spark, SF)) == []
