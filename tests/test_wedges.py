@@ -67,3 +67,12 @@ def test_tail_only_neighbours_shuffle_nothing_but_ties(spark):
 
 def test_head_only_neighbours_shuffle_nothing_but_ties(spark):
     assert _shuffles(QUERIES["graph_head_only_neighbours"](spark, SF)) == []
+
+
+def test_neighbour_classes_shuffle_nothing_but_ties(spark):
+    near = _near()
+    got = W.chosen_classes(spark.createDataFrame([(h, t) for h in near for t in near[h]], EDGE))
+    first = {h: min(near[h]) for h in near}
+    want = sorted((h, t, c, (first[h] == c) + (first[c] == t)) for h in near for t in near[h] for c in near[h] & near[t])
+    assert sorted(map(tuple, got.collect())) == want
+    assert _shuffles(QUERIES["graph_neighbour_classes"](spark, SF)) == []
