@@ -16,6 +16,7 @@ from spanloom.operators import pairs as R
 from spanloom.operators import prep as P
 from spanloom.operators import sampling as S
 from spanloom.operators import scoring as C
+from spanloom.operators import wedges as W
 from spanloom.plans.fixtures import m_sql, mentions, sentences
 from spanloom.plans.graph import SUPP, edges, first_pairs
 from spanloom.plans.registry import query
@@ -218,7 +219,7 @@ _WF = RING_SQL + f""",
 @query("pair_waterfall_negatives", _WF)
 def waterfall(spark, sf_dir):
     """For every pair six common neighbours, three of the tail's own, three of the head's own, two of any; what a kind lacks goes to the next."""
-    return R.waterfall_of_pairs(G.neighbours(edges(spark, sf_dir)), [6, 3, 3, 2], n_entities=table(spark, sf_dir, "part").count())
+    return W.waterfall(edges(spark, sf_dir), [6, 3, 3, 2], n_entities=table(spark, sf_dir, "part").count())
 
 
 @query("score_gated_sum", m_sql() + """, n1 as (select distinct h, t from e), nv as (select count(*) as n from embeddings), ev as (select vec_id, embedding::double[] as v from embeddings), s as (select n1.h, b.v as v, 1 / (1 + exp(-list_dot_product(a.v, b.v))) as w from n1 join nv on true join ev a on a.vec_id = n1.h % n join ev b on b.vec_id = n1.t % n),

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from spanloom.operators import pairs as R
 from spanloom.operators import wedges as W
 from spanloom.plans import load_all
 from tests.oracle import SF
@@ -76,3 +77,16 @@ def test_neighbour_classes_shuffle_nothing_but_ties(spark):
     want = sorted((h, t, c, (first[h] == c) + (first[c] == t)) for h in near for t in near[h] for c in near[h] & near[t])
     assert sorted(map(tuple, got.collect())) == want
     assert _shuffles(QUERIES["graph_neighbour_classes"](spark, SF)) == []
+
+
+@pytest.mark.parametrize("quotas", [[2, 1, 1, 1], [6, 3, 3, 2], [0, 0, 30]])
+def test_waterfall_equals_joined_one(spark, quotas):
+    near = _near()
+    edges = spark.createDataFrame([(h, t) for h in near for t in near[h]], EDGE)
+    rows = lambda d: sorted(map(tuple, d.select("h", "t", "c", "kind", "place").collect()))
+    got, want = (rows(f(edges, quotas, n_entities=50)) for f in (W.waterfall, R.waterfall_of_pairs))
+    assert got == want and len(got) == len(set(got)) > 0
+
+
+def test_waterfall_shuffles_nothing_but_ties(spark):
+    assert _shuffles(QUERIES["pair_waterfall_negatives"](spark, SF)) == []
