@@ -51,3 +51,10 @@ def test_attention_layer_shuffles_no_vectors(spark):
 
 def test_gated_sum_shuffles_no_vectors(spark):
     assert _shuffles(QUERIES["score_gated_sum"](spark, SF)) == ["h", "sent_id"]
+
+
+def test_distance_classes_shuffle_statements_once_for_both_directions(spark):
+    df = QUERIES["pair_distance_classes"](spark, SF)
+    assert set(_shuffles(df)) == {"run", "u", "sent_id"}
+    names = {c for c in re.findall(r"Exchange hashpartitioning\(run#.*\n.*Project \[(.*?)\]\n", df._jdf.queryExecution().executedPlan().toString())}
+    assert names and not any(re.search(r"\bid#", x) for x in names)
