@@ -5,12 +5,18 @@ from collections import defaultdict
 
 import pytest
 
+from spanloom.operators import graph as G
 from spanloom.operators import pairs as R
 from spanloom.operators import wedges as W
 from spanloom.plans import load_all
 from tests.oracle import SF
 from tests.test_disk import _shuffles
 
+QUERIES, _ = load_all()
+from spanloom.plans import load_all
+from tests.oracle import SF
+from tests.test_disk import _shuffles
+
 QUERIES, _ = load_all()
 EDGE = "h bigint, t bigint"
 
@@ -90,3 +96,27 @@ def test_waterfall_equals_joined_one(spark, quotas):
 
 def test_waterfall_shuffles_nothing_but_ties(spark):
     assert _shuffles(QUERIES["pair_waterfall_negatives"](spark, SF)) == []
+
+
+def test_triangles_shuffle_no_wedges(spark):
+    assert _shuffles(QUERIES["graph_triangles"](spark, SF)) == []
+
+
+def test_thirds_of_statements_equal_brute_force(spark):
+    rnd, m = random.Random(5), []
+    for s in range(70):
+        at = 0
+        for rn in range(rnd.choice([2, 3, 4, 7])):
+            m.append((s, rnd.randrange(9), rn, at, at + 20))
+            at += 20
+    m = spark.createDataFrame(m, "sent_id bigint, entity bigint, rn int, st bigint, en bigint")
+    of = {}
+    for h, t, s in G.both_ways(G.statements(m)).select("h", "t", "sent_id").collect():
+        of.setdefault((h, t), set()).add(s)
+    want = set()
+    for (h, t), own in of.items():
+        for s in own:
+            cs = [c for c in range(9) if any(x != y for x in of.get((h, c), set()) - {s} for y in of.get((c, t), set()) - {s})]
+            want |= {(h, t, s, min(cs))} if cs else set()
+    got = list(map(tuple, W.third_of_statements(m).collect()))
+    assert want and len(got) == len(want) and set(got) == want
