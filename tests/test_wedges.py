@@ -120,3 +120,8 @@ def test_thirds_of_statements_equal_brute_force(spark):
             want |= {(h, t, s, min(cs))} if cs else set()
     got = list(map(tuple, W.third_of_statements(m).collect()))
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_similar_negatives_shuffle_no_wedges(spark):
+    df = QUERIES["pair_similar_strong_negatives"](spark, SF)
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and not {"a", "b", "u"} & set(_shuffles(df))
