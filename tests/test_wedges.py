@@ -125,3 +125,14 @@ def test_thirds_of_statements_equal_brute_force(spark):
 def test_similar_negatives_shuffle_no_wedges(spark):
     df = QUERIES["pair_similar_strong_negatives"](spark, SF)
     assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and not {"a", "b", "u"} & set(_shuffles(df))
+
+
+def test_subgraph_negatives_shuffle_nothing_after_the_ties(spark):
+    df = QUERIES["subgraph_negatives"](spark, SF)
+    assert _shuffles(df) == []
+    rows = df.collect()
+    per = defaultdict(list)
+    for h, t, kind, x, y in rows:
+        per[h, t].append((x, y, kind))
+    assert rows and all(h < t and len(v) <= 8 and (h, t, "weak") not in v for (h, t), v in per.items())
+    assert all((x, y, k) not in v for v in per.values() for x, y, kind in v if kind == "weak" for k in ("mutual", "single"))
