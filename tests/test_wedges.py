@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from hashlib import md5
 
 import pytest
 
@@ -136,3 +137,41 @@ def test_subgraph_negatives_shuffle_nothing_after_the_ties(spark):
         per[h, t].append((x, y, kind))
     assert rows and all(h < t and len(v) <= 8 and (h, t, "weak") not in v for (h, t), v in per.items())
     assert all((x, y, k) not in v for v in per.values() for x, y, kind in v if kind == "weak" for k in ("mutual", "single"))
+
+
+def test_mutual_negatives_shuffle_no_wedges(spark):
+    df = QUERIES["pair_mutual_strong_negatives"](spark, SF)
+    assert not {"a", "b", "u"} & set(_shuffles(df)) and "RDDScan" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("far", [0, 2**40])
+def test_mutual_negatives_equal_brute_force(spark, monkeypatch, far):
+    rnd, m = random.Random(8), []
+    for s in range(90):
+        at = 0
+        for rn in range(rnd.choice([2, 3, 4, 9])):
+            m.append((s, far + rnd.randrange(12), rn, at, at + 20))
+            at += 20
+    names = defaultdict(set)
+    for s, e, *_ in m:
+        names[s].add(e)
+    m = spark.createDataFrame(m, "sent_id bigint, entity bigint, rn int, st bigint, en bigint")
+    monkeypatch.setattr(W, "CHUNK", 50)
+    edges = R.with_ids(G.both_ways(G.statements(m)))
+    of, key = defaultdict(list), lambda *x: (md5("|".join(map(str, x)).encode()).hexdigest(), x[-1])
+    for e in edges.collect():
+        of[e.h, e.t].append(e)
+    near = defaultdict(set)
+    for h, t in of:
+        near[h].add(t)
+    ring = {h: sorted(near[h], key=lambda t, h=h: key(1, h, t)) for h in near}
+    step = lambda h, a, b: (ring[h].index(b) - ring[h].index(a)) % len(ring[h])
+    want = set()
+    for h, t in of:
+        both = near[h] & near[t]
+        if both:
+            c = min(both, key=lambda c: step(h, t, c))
+            rows = [(step(c, h, d), key(1, e.id), d, e.id) for d in both & near[c] for e in of[c, d] if not {h, t} & names[e.sent_id]]
+            want |= {(h, t, c, *min(rows)[2:])} if rows else set()
+    got = list(map(tuple, R.mutual_strong_negatives(edges, m).select("h", "t", "c", "d", "b_id").collect()))
+    assert want and len(got) == len(want) and set(got) == want
