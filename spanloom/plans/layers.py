@@ -96,14 +96,17 @@ for _kind in _SAYS:
     _register(_kind)
 
 
+def _score(before, after):
+    return sum(x * y for x, y in zip(after, before, strict=True))
+
+
 def _beside_rival(columns):
     """Of all pairs of some heads, the score of each and that of the next in the ring of its head."""
     import hashlib
 
     import numpy as np
 
-    h, t, *vs = columns
-    score = sum(vs[DIM + i] * vs[i] for i in range(DIM))
+    h, t, score = columns
     key = np.frombuffer(b"".join(hashlib.md5(b"1|%d|%d" % x).digest() for x in zip(h.tolist(), t.tolist(), strict=True)), ">u8").reshape(-1, 2)
     o = np.lexsort((t, key[:, 1], key[:, 0], h))
     h, t, score = h[o], t[o], score[o]
@@ -121,7 +124,7 @@ def _beside_rival(columns):
 def graph_candidates(spark, sf_dir):
     """Every pair scored by its vector after the layer against the one before it, beside a rival: the head with its next neighbour in the ring."""
     if plain := _plain(spark, sf_dir):
-        return L.layer_of_pairs(edges(spark, sf_dir), *plain, "concat", DIM, weight, "h bigint, t bigint, rival bigint, score double, rival_score double, first boolean", _beside_rival)
+        return L.layer_of_pairs(edges(spark, sf_dir), *plain, "concat", DIM, weight, "h bigint, t bigint, rival bigint, score double, rival_score double, first boolean", _score, _beside_rival)
     nb, cand, ties = _supported(spark, sf_dir)
     rep = L.layer(cand, ties, ["h", "t"], "concat", DIM, weight).join(cand, ["h", "t"]).select("h", "t", sum((F.col(f"x{i}") * F.get("cand", F.lit(i)) for i in range(DIM)), F.lit(0.0)).alias("score"))
     rep = durable(rep)

@@ -1,10 +1,12 @@
 """Layers over all common neighbours, summed where these are found: equal to the layer over joined ties, and nothing but ties is shuffled."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G
 from spanloom.operators import layers as L
+from spanloom.operators import wedges as W
 from spanloom.plans import load_all
 from spanloom.plans.layers import weight
 from tests.oracle import SF
@@ -43,3 +45,30 @@ def test_score_layer_mutual_shuffles_no_ties(spark):
 
 def test_score_graph_candidates_shuffles_no_ties(spark):
     assert _shuffles(QUERIES["score_graph_candidates"](spark, SF)) == []
+
+
+def test_what_all_pairs_of_a_head_need_looks_for_common_neighbours_once(spark):
+    near = _near()
+    edges = spark.createDataFrame([(h, t) for h in near for t in near[h]], EDGE)
+    looked = spark.sparkContext.accumulator(0)
+
+    def prepare(x):
+        common = x.common
+
+        def counted(a, b):
+            looked.add(len(a))
+            return common(a, b)
+
+        x.common = counted
+
+    def visit(x, _, a, b, r, p, q):
+        yield x.heads[a], x.heads[b], np.bincount(r, minlength=len(a))
+
+    def finish(columns):
+        h, t, n = columns
+        heads, at = np.unique(h, return_inverse=True)
+        yield heads, np.bincount(at), np.bincount(at, n).astype(np.int64)
+
+    got = W.each_class(spark, W.ties(edges), "h bigint, t bigint, n bigint", visit, "h bigint, degree bigint, n bigint", finish, prepare)
+    assert sorted(map(tuple, got.collect())) == sorted((h, len(near[h]), sum(len(near[h] & near[t]) for t in near[h])) for h in near if near[h])
+    assert looked.value == sum(map(len, near.values())) // 2
