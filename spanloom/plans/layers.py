@@ -96,6 +96,10 @@ for _kind in _SAYS:
     _register(_kind)
 
 
+#: Pairs whose keys are made and which are handed on at once.
+ROWS = 100_000
+
+
 def _score(before, after):
     return sum(x * y for x, y in zip(after, before, strict=True))
 
@@ -107,7 +111,8 @@ def _beside_rival(columns):
     import numpy as np
 
     h, t, score = columns
-    key = np.frombuffer(b"".join(hashlib.md5(b"1|%d|%d" % x).digest() for x in zip(h.tolist(), t.tolist(), strict=True)), ">u8").reshape(-1, 2)
+    parts = [slice(at, at + ROWS) for at in range(0, len(h), ROWS)]  # numbers and digests as objects, a portion at a time
+    key = np.concatenate([np.frombuffer(b"".join(hashlib.md5(b"1|%d|%d" % x).digest() for x in zip(h[k].tolist(), t[k].tolist(), strict=True)), ">u8").reshape(-1, 2) for k in parts])
     o = np.lexsort((t, key[:, 1], key[:, 0], h))
     h, t, score = h[o], t[o], score[o]
     new = np.r_[True, h[1:] != h[:-1]]
@@ -115,7 +120,10 @@ def _beside_rival(columns):
     nxt = np.arange(1, len(h) + 1)
     nxt[np.r_[first[1:], len(h)] - 1] = first
     k = np.flatnonzero(nxt != np.arange(len(h)))
-    yield h[k], t[k], t[nxt[k]], score[k], score[nxt[k]], score[k] >= score[nxt[k]]
+    for part in parts:
+        i = k[part]
+        j = nxt[i]
+        yield h[i], t[i], t[j], score[i], score[j], score[i] >= score[j]
 
 
 @query("score_graph_candidates", _layer_sql("concat") + """, sc as (select h, t, x0 * cand[1] + x1 * cand[2] + x2 * cand[3] + x3 * cand[4] as score from rp),

@@ -8,6 +8,7 @@ from spanloom.operators import graph as G
 from spanloom.operators import layers as L
 from spanloom.operators import wedges as W
 from spanloom.plans import load_all
+from spanloom.plans import layers as P
 from spanloom.plans.layers import weight
 from tests.oracle import SF
 from tests.test_disk import _shuffles
@@ -72,3 +73,13 @@ def test_what_all_pairs_of_a_head_need_looks_for_common_neighbours_once(spark):
     got = W.each_class(spark, W.ties(edges), "h bigint, t bigint, n bigint", visit, "h bigint, degree bigint, n bigint", finish, prepare)
     assert sorted(map(tuple, got.collect())) == sorted((h, len(near[h]), sum(len(near[h] & near[t]) for t in near[h])) for h in near if near[h])
     assert looked.value == sum(map(len, near.values())) // 2
+
+
+def test_rivals_are_handed_on_in_portions(monkeypatch):
+    h, t = np.repeat([4, 7, 9], [12, 1, 20]), np.r_[0:12, 5, 30:50]
+    columns = [h, t, np.arange(len(h)) % 5 / 4]
+    whole = list(P._beside_rival(columns))
+    monkeypatch.setattr(P, "ROWS", 6)
+    parts = list(P._beside_rival(columns))
+    assert len(whole) == 1 and [len(x[0]) for x in parts] == [6, 6, 6, 6, 6, 2]
+    assert all((np.concatenate(c) == w).all() for c, w in zip(zip(*parts), whole[0]))
